@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, media, quality, sharding, store, token_counts, warc
+from . import bpe, decontaminate, media, quality, sharding, store, substring, token_counts, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -57,13 +57,17 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(_table(spark, sf_dir, "documents"), TOKENIZER, with_ids=False, with_text=False)
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.find_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.count_tokens(_table(spark, sf_dir, "documents"), store.new_folder(spark, "token-cache"), TOKENIZER)
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op2_quality_classifier, op5_warc, op6_media_columns, op7_sharding, op8_bpe, op10_token_counts)
+    f.__name__: f for f in (op1_decontamination, op2_quality_classifier, op5_warc, op6_media_columns, op7_sharding, op8_bpe, op9_substring_dedup, op10_token_counts)
 }
 
 #: DuckDB list of the words of a text, as the decontamination contract has them.
@@ -83,6 +87,14 @@ item AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS id
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN word USING (doc_id) LEFT JOIN item USING (doc_id)""",
+    "op9_substring_dedup": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, p, md5(array_to_string(w[p:p + 34], ' ')) AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS p FROM d WHERE len(w) >= 35)),
+cov AS (SELECT DISTINCT doc_id, unnest(range(p, p + 35)) AS i FROM win WHERE k IN (SELECT k FROM win GROUP BY k HAVING count(*) > 1)),
+word AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS v FROM d),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(v, ' ' ORDER BY i) AS t FROM word ANTI JOIN cov USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)""",
 }
 
 
