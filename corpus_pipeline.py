@@ -9,9 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelake.llm import bpe, decontaminate, quality, store
+from scorelake.llm import bpe, decontaminate, jaccard, quality, store, substring
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Most ids of dropped documents that are broadcast; beyond it the same join is shuffled.
+BROADCAST_IDS = 500_000
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,8 +23,23 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return quality.score(docs, weights, keep=COLUMNS[1:]).filter("score >= 0.5").select(*COLUMNS)
 
 
-def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that aren't contaminated by the benchmark: no hit, or under a twentieth of the words."""
+def near_duplicate_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest id of each group that similarity links join."""
+    groups = jaccard.join_components(docs)
+    others, _ = store.write_table(groups.filter("component_id <> doc_id").select("doc_id"), "pipeline-others")
+    if others.count() <= BROADCAST_IDS:
+        others = F.broadcast(others)
+    return docs.join(others, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def repeat_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without their passages of 35 words and more that stand elsewhere too."""
+    cut = substring.remove_repeats(docs)
+    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*COLUMNS)
+
+
+def contamination_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with no benchmark window, or with less than a twentieth of their words in such."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = decontaminate.find_contamination(docs, items, keep=COLUMNS[1:])
     return found.filter("NOT (n_hit > 0 AND 20 * n_hit >= n_words)").select(*COLUMNS)
@@ -35,13 +52,15 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality classifier", quality_filter),
-    ("benchmark decontamination", decontaminated),
+    ("n-gram Jaccard join", near_duplicate_filter),
+    ("substring dedup", repeat_filter),
+    ("benchmark decontamination", contamination_filter),
     ("BPE encoding and decoding", token_ids),
 ]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what each stage returns is written and reread."""
+    """All stages over ``documents``; what each stage but the last returns is written and reread."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for number, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
