@@ -25,6 +25,8 @@ from . import textbuf
 BITS = 18
 #: Most labelled rows that a fit takes; which ones is decided by a hash of the row's key.
 TRAIN_ROWS = 20_000
+#: Updates that a fit aims at; fewer rows are passed over more often, within these bounds.
+UPDATES, LEAST_EPOCHS, MOST_EPOCHS = 50_000, 4, 40
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
@@ -52,7 +54,7 @@ def featurise(offsets: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndar
 class FtrlModel:
     """Logistic regression with FTRL-proximal state; ``z`` and ``n`` hold a place for the bias."""
 
-    alpha: float = 0.5
+    alpha: float = 1.0
     beta: float = 1.0
     l1: float = 0.1
     l2: float = 0.5
@@ -76,7 +78,7 @@ class FtrlModel:
         self.n[places] = n + g * g
 
 
-def fit(labelled: DataFrame, key_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = TRAIN_ROWS, epochs: int = 3) -> np.ndarray:
+def fit(labelled: DataFrame, key_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = TRAIN_ROWS, epochs: int | None = None) -> np.ndarray:
     """Weights (bias last) from at most ``rows`` labelled rows of 0/1 labels.
 
     Features are made on the executors; the driver gets a bounded number of sparse rows and runs the
@@ -97,6 +99,7 @@ def fit(labelled: DataFrame, key_col: str = "doc_id", text_col: str = "text", la
 
     model = FtrlModel()
     examples = sorted(chosen.mapInArrow(run, "ord bigint, label int, places binary, vals binary").collect(), key=lambda r: (r.ord, r.label, r.places))
+    epochs = epochs or min(MOST_EPOCHS, max(LEAST_EPOCHS, UPDATES // max(1, len(examples))))
     for _ in range(epochs):
         for r in examples:
             model.update(np.frombuffer(r.places, np.int32), np.frombuffer(r.vals, np.float32).astype(np.float64), r.label)
