@@ -5,22 +5,46 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
 
 
-def argmax_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers of the largest revenue; every tied supplier stays."""
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    totals = lines.groupBy("l_suppkey").agg(F.round(F.sum("l_extendedprice"), 2).alias("revenue"))
-    return totals.join(F.broadcast(totals.agg(F.max("revenue").alias("top"))), F.col("revenue") == F.col("top")).select("l_suppkey", "revenue")
+class Tables:
+    """The Parquet tables of one folder, by attribute."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        self.spark, self._dir = spark, sf_dir
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name.startswith("_"):
+            raise AttributeError(name)
+        return self.spark.read.parquet(f"{self._dir}/{name}.parquet")
+
+
+def query(sql: str | None) -> Callable[[Callable[[Tables], DataFrame]], Query]:
+    """Register a function of the tables under its name, with its SQL if it has any."""
+
+    def register(function: Callable[[Tables], DataFrame]) -> Query:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return function(Tables(spark, sf_dir))
+
+        run.__doc__ = function.__doc__
+        _QUERIES[function.__name__] = run
+        if sql is not None:
+            _SQL[function.__name__] = sql
+        return run
+
+    return register
 
 
 def queries() -> dict[str, Query]:
-    return {"argmax_ties": argmax_ties}
+    from . import evaluation, relational  # noqa: F401  they register themselves
+
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"argmax_ties": "WITH t AS (SELECT l_suppkey, round(sum(l_extendedprice), 2) AS revenue FROM lineitem GROUP BY l_suppkey) SELECT l_suppkey, revenue FROM t WHERE revenue = (SELECT max(revenue) FROM t)"}
+    queries()
+    return dict(_SQL)
