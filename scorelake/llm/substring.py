@@ -143,7 +143,7 @@ def _live_windows(h: np.ndarray, first: np.ndarray, live: pa.Array, window: int)
 
 def _covered(levels: _Levels, id_col: str, keep: tuple[tuple[str, str], ...], id_type: str, window: int) -> DataFrame:
     """What is left of the texts with live windows and no exact copy."""
-    names = [id_col, "row", "digest", *(n for n, _ in keep), "n_words", "n_removed", "kept"]
+    names = [id_col, "__row", "__digest", *(n for n, _ in keep), "__removed", "__kept"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,7 +152,7 @@ def _covered(levels: _Levels, id_col: str, keep: tuple[tuple[str, str], ...], id
                 starts, ends, first = textbuf.words(offsets, raw)
                 places, _ = _live_windows(textbuf.word_hashes(raw, starts, ends), first, batch.column(n + 1)[a:b], window)
                 edges = np.searchsorted(places, first)
-                counts, removed, kept = [], [], []
+                removed, kept = [], []
                 for i in range(b - a):
                     words = (text[a + i].as_py() or "").encode().split()
                     own = places[edges[i] : edges[i + 1]] - first[i]
@@ -163,22 +163,21 @@ def _covered(levels: _Levels, id_col: str, keep: tuple[tuple[str, str], ...], id
                     np.add.at(depth, own, 1)
                     np.subtract.at(depth, own + window, 1)
                     stays = np.cumsum(depth[:-1]) == 0
-                    counts.append(len(words))
                     removed.append(len(words) - int(stays.sum()))
                     kept.append(b" ".join(compress(words, stays)).decode())
-                yield pa.RecordBatch.from_arrays([*(batch.column(i)[a:b] for i in range(n)), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names)
+                yield pa.RecordBatch.from_arrays([*(batch.column(i)[a:b] for i in range(n)), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names)
 
     rows = levels.live.filter("NOT copied").join(levels.single, "__row", "left").select(id_col, "__row", "__digest", *(f"__keep_{n}" for n, _ in keep), "__text", "live", "single")
     fields = "".join(f", `{n}` {t}" for n, t in keep)
-    return rows.mapInArrow(run, f"`{id_col}` {id_type}, row bigint, digest string{fields}, n_words bigint, n_removed bigint, kept string")
+    return rows.mapInArrow(run, f"`{id_col}` {id_type}, __row bigint, __digest string{fields}, __removed bigint, __kept string")
 
 
 def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """For every row of ``docs``: ``id_col``, ``n_words``, ``n_removed`` and ``kept_sha256`` (of the kept
     words joined by blanks)."""
     levels = _Levels(docs, id_col, text_col, window, ())
-    left = _covered(levels, id_col, (), docs.schema[id_col].dataType.simpleString(), window).filter("n_removed > 0")
-    left, _ = store.write_table(left.select("row", "digest", F.col("n_removed").alias("__removed"), F.sha2(F.col("kept").cast("binary"), 256).alias("__sha")).distinct(), "substring-left")
+    left = _covered(levels, id_col, (), docs.schema[id_col].dataType.simpleString(), window).filter("__removed > 0")
+    left, _ = store.write_table(left.select(F.col("__row").alias("row"), F.col("__digest").alias("digest"), "__removed", F.sha2(F.col("__kept").cast("binary"), 256).alias("__sha")).distinct(), "substring-left")
     gone = (F.col("__copies") > 1) & (F.col("n_words") >= window)
     copies = levels.copies.select("digest", F.col("n").alias("__copies"))
     return levels.rows.join(copies, "digest", "left").join(left, ["row", "digest"], "left").select(
@@ -198,13 +197,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     types = tuple((f"{c}", docs.schema[c].dataType.simpleString()) for c in keep)
     levels = _Levels(docs, id_col, text_col, window, keep)
     id_type = docs.schema[id_col].dataType.simpleString()
-    changed, _ = store.write_table(_covered(levels, id_col, types, id_type, window).filter("n_removed > 0"), "substring-changed")
-    gone = levels.rows.filter(F.col("n_words") >= window).join(levels.copies.select("digest"), "digest", "left_semi").select("row", "digest")
-    keys, _ = store.write_table(changed.select("row", "digest").unionByName(gone).distinct().withColumn("__gone", F.lit(True)), "substring-keys")
-    gone_keys, _ = store.write_table(gone.distinct(), "substring-gone")
+    changed, _ = store.write_table(_covered(levels, id_col, types, id_type, window).filter("__removed > 0"), "substring-changed")
+    gone = levels.rows.filter(F.col("n_words") >= window).join(levels.copies.select("digest"), "digest", "left_semi").select(F.col("row").alias("__r"), F.col("digest").alias("__d")).distinct()
+    gone, _ = store.write_table(gone, "substring-gone")
+    keys, _ = store.write_table(changed.select(F.col("__row").alias("__r"), F.col("__digest").alias("__d")).unionByName(gone).distinct(), "substring-keys")
     keyed = docs.withColumn("__digest", _digest(F.col(text_col))).withColumn("__row", _row(F.col("__digest"), F.col(id_col)))
-    same = [F.col("__row") == F.col("row"), F.col("__digest") == F.col("digest")]
-    stays = keyed.join(_bounded(keys.select("row", "digest")), same, "left_anti").select(*docs.columns)
-    empty = keyed.join(_bounded(gone_keys), same, "left_semi").withColumn(text_col, F.lit("")).select(*docs.columns)
-    cut = changed.withColumn(text_col, F.col("kept")).select(*docs.columns)
+    same = [F.col("__row") == F.col("__r"), F.col("__digest") == F.col("__d")]
+    stays = keyed.join(_bounded(keys), same, "left_anti").select(*docs.columns)
+    empty = keyed.join(_bounded(gone), same, "left_semi").withColumn(text_col, F.lit("")).select(*docs.columns)
+    cut = changed.withColumn(text_col, F.col("__kept")).select(*docs.columns)
     return stays.unionByName(empty).unionByName(cut)
