@@ -103,6 +103,11 @@ def instantiate(template: str, parameters: Mapping[str, object]) -> str:
     return re.sub(r"""(?:(?<!\w)(['"])(?=\{\w+\}\1))?\{(\w+)\}(?(1)\1)""", fill, template)
 
 
+def fill(prose: str, parameters: Mapping[str, object]) -> str:
+    """Prose with its placeholders filled; names without a value stay."""
+    return re.sub(r"\{(\w+)\}", lambda m: str(parameters.get(m.group(1), m.group(0))), prose)
+
+
 def parameters_of(template: str, concrete: str) -> dict[str, str]:
     """Values that turn ``template`` into ``concrete``; empty if it can't be."""
     names: list[str] = []
