@@ -36,9 +36,9 @@ MOST_MATCHES, VERIFY_COST = 4, 8
 SUMMARY, REPORTED, HEAVY = 1 << 16, 1 << 12, 1 << 17
 #: Rows of a frequent token that share a salt.
 SALTED = 4096
-#: Hub rounds at most before all remaining pairs are listed; listed at once if they are no more than
-#: this many for each prefix token.
-ROUNDS, LIST_RATIO = 6, 2
+#: Hub rounds at most before all remaining pairs are listed; listed earlier if the prefix tokens' pairs
+#: are no more than this many for each prefix token.
+ROUNDS, LIST_RATIO = 6, 16
 #: Names that clash, at most; about a thousand are expected in 5 * 10^10 sets.
 MOST_CLASHES = 20_000
 #: Most keys that are broadcast; beyond it the same join is shuffled.
@@ -137,8 +137,8 @@ def _node(digest: str, moved: dict[str, int]) -> int:
 
 
 def _prefixes(texts: DataFrame, heavy: tuple[np.ndarray, np.ndarray], moved: dict[str, int], size: int, percent: int) -> DataFrame:
-    """Prefix tokens of ``texts`` (column text): token, salt, node, n, most (matches chosen), level
-    (least number of matches whose prefix holds the token)."""
+    """Prefix tokens of ``texts`` (column text): token, salt, node, n, most (matches chosen), place (in
+    the document's order; the prefix for m matches ends at ``n - least overlap + m``)."""
     sent = texts.sparkSession.sparkContext.broadcast(heavy)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,15 +156,14 @@ def _prefixes(texts: DataFrame, heavy: tuple[np.ndarray, np.ndarray], moved: dic
                     order = np.argsort(counts, kind="stable")  # tokens are sorted: ties go by hash
                     m, length = choose_prefix(counts[order], n, percent)
                     chosen = order[:length]
-                    level = np.maximum(1, np.arange(length) - (n - _least_overlap(n, percent)) + 1)
                     salts = counts[chosen] // SALTED + 1
-                    for column, value in zip(out, (tokens[chosen].view(np.int64), (np.uint64(node & 0x7FFFFFFF) % salts.astype(np.uint64)).astype(np.int32) + (salts > 1), np.full(length, node), np.full(length, n, dtype=np.int32), np.full(length, m, dtype=np.int8), level.astype(np.int8)), strict=True):
+                    for column, value in zip(out, (tokens[chosen].view(np.int64), (np.uint64(node & 0x7FFFFFFF) % salts.astype(np.uint64)).astype(np.int32) + (salts > 1), np.full(length, node), np.full(length, n, dtype=np.int32), np.full(length, m, dtype=np.int8), np.arange(length, dtype=np.int32)), strict=True):
                         column.append(value)
                 if out[0]:
-                    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int8(), pa.int8())
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), k) for c, k in zip(out, kinds, strict=True)], ["token", "salt", "node", "n", "most", "level"])
+                    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int8(), pa.int32())
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), k) for c, k in zip(out, kinds, strict=True)], ["token", "salt", "node", "n", "most", "place"])
 
-    return texts.mapInArrow(run, "token bigint, salt int, node bigint, n int, most tinyint, level tinyint")
+    return texts.mapInArrow(run, "token bigint, salt int, node bigint, n int, most tinyint, place int")
 
 
 def _shared_only(prefixes: DataFrame) -> DataFrame:
@@ -210,21 +209,31 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     return pairs.join(two, "b").join(one, "a").select("a", "b", "a_text", "b_text").mapInArrow(run, "a bigint, b bigint")
 
 
-def _matched(joined: DataFrame) -> DataFrame:
-    """Pairs of rows of one token (columns a.. and b..) that meet the rule of multi-match prefixes."""
-    m = F.least("a_most", "b_most")
-    fits = (F.col("a_level") <= m) & (F.col("b_level") <= m)
-    return joined.filter(fits).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.max(m).alias("m"))
+def _matching(percent: int) -> Column:
+    """Condition on a shared token's row of both documents.
+
+    Both are in the prefixes for m matches, and the first m shared tokens of similar documents
+    leave room for the overlap that the two sizes need: at most m - 1 before and what follows.
+    """
+    m = "least(a_most, b_most)"
+    prefixes = " AND ".join(f"{s}_place < {s}_n - ceil({percent} * {s}_n / 100) + {m}" for s in "ab")
+    needed = f"ceil({percent} * (a_n + b_n) / {100 + percent})"
+    return F.expr(f"{prefixes} AND {m} - 1 + least(a_n - a_place, b_n - b_place) >= {needed}")
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    """Pairs with the number of matching tokens they share and the number they need."""
+    return rows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.max(F.least("a_most", "b_most")).alias("m"))
 
 
 def _side(rows: DataFrame, name: str) -> DataFrame:
-    return rows.select("token", *(F.col(c).alias(name if c == "node" else f"{name}_{c}") for c in ("node", "n", "most", "level", "comp")))
+    return rows.select("token", *(F.col(c).alias(name if c == "node" else f"{name}_{c}") for c in ("node", "n", "most", "place", "comp")))
 
 
 def _links(prefixes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Labels (node, comp) of the components of ``prefixes``' nodes with any link."""
     spark = prefixes.sparkSession
-    sizes = F.expr(f"100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n)")
+    matching = _matching(percent)
     found, labels = None, None
     rows = prefixes.withColumn("comp", F.col("node"))
     for number in range(ROUNDS + 1):
@@ -237,15 +246,17 @@ def _links(prefixes: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
         if total[0] is None:
             break
         rows, rows_uri = store.write_table(rows.join(open_.select("token"), "token"), "jaccard-rows")
-        listing = number == ROUNDS or total[0] <= LIST_RATIO * total[1]
+        listing = number == ROUNDS or (number > 0 and total[0] <= LIST_RATIO * total[1])
         if listing:
-            pairs = _side(rows, "a").join(_side(rows, "b"), "token").filter((F.col("a") < F.col("b")) & (F.col("a_comp") != F.col("b_comp")) & sizes)
-            pairs = _matched(pairs).filter("shared >= m").select("a", "b")
+            two = _side(rows, "b").withColumnRenamed("token", "other")
+            same = (F.col("token") == F.col("other")) & (F.col("a") < F.col("b")) & (F.col("a_comp") != F.col("b_comp")) & matching
+            pairs = _counted(_side(rows, "a").join(two, same)).filter("shared >= m").select("a", "b")
         else:
             order = F.xxhash64("comp", F.lit(number))
             hubs = rows.groupBy("token").agg(F.min(F.struct(order.alias("o"), F.col("node"))).alias("hub")).select("token", F.col("hub.node").alias("node"))
-            hubs = _side(rows.join(hubs, ["token", "node"]), "a")
-            pairs = _matched(hubs.join(_side(rows, "b"), "token").filter((F.col("a_comp") != F.col("b_comp")) & sizes))
+            hubs = _side(rows.join(hubs, ["token", "node"]), "a").withColumnRenamed("token", "other")
+            same = (F.col("token") == F.col("other")) & (F.col("a_comp") != F.col("b_comp")) & matching
+            pairs = _counted(_side(rows, "b").join(hubs, same))
             # the hub with which a document shares most; other hubs have their turn in later rounds
             pairs = pairs.groupBy("b").agg(F.max(F.struct("shared", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
         pairs, pairs_uri = store.write_table(pairs, "jaccard-pairs")
