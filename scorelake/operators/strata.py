@@ -113,28 +113,6 @@ def flag_labels(labels: Mapping[str, Column]) -> Column:
     return F.array_sort(F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in labels.items()))))
 
 
-#: Steps of a query -> band.
-DIFFICULTY_BANDS = ((2, 2, "two_step"), (3, 4, "three_four_step"), (5, 6, "five_six_step"))
-
-
-def difficulty_band(steps: Column) -> Column:
-    out = F.when(steps.isNull(), "other")
-    for low, high, name in DIFFICULTY_BANDS:
-        out = out.when(steps.between(low, high), name)
-    return out.otherwise("other")
-
-
-def pressure_sum(parts: Mapping[str, Mapping[str, int]], low: int, high: int) -> Column:
-    """Level (low, medium, high) of a sum of points that columns' values map to; unknown values count 0."""
-    score = F.lit(0)
-    for column, points in parts.items():
-        mapped = F.lit(0)
-        for value, p in points.items():
-            mapped = F.when(F.col(column) == value, p).otherwise(mapped)
-        score = score + mapped
-    return F.when(score <= low, "low").when(score < high, "medium").otherwise("high")
-
-
 def profile(pressures: Mapping[str, str]) -> Column:
     """Text such as ``G=low | L=high`` of the given columns."""
     return F.concat_ws(" | ", *(F.concat(F.lit(f"{k}="), F.coalesce(F.col(c), F.lit("other"))) for k, c in pressures.items()))

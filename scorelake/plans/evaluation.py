@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import lineage, sessions, signature, strata, vote
+from ..operators import lineage, pressure, sessions, signature, strata, vote
 from ..functions import text
 from .catalog import Tables, query
 from .relational import MINUTE, SQL_EVENTS
@@ -206,3 +206,14 @@ def attempt_last_valid(t: Tables) -> DataFrame:
 @query("SELECT conv_id, turn FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations WHERE role = 'assistant') WHERE rn = 1")
 def attempt_first_valid(t: Tables) -> DataFrame:
     return vote.pick_attempt(t.conversations, ["conv_id"], "turn", F.col("role") == "assistant", last=False).select("conv_id", "turn")
+
+
+@query("SELECT doc_id, CASE WHEN n_chars <= 0.01 * 20000 THEN '<=1%' WHEN n_chars <= 0.05 * 20000 THEN '1-5%' WHEN n_chars <= 0.1 * 20000 THEN '5-10%' WHEN n_chars <= 0.25 * 20000 THEN '10-25%' WHEN n_chars <= 0.5 * 20000 THEN '25-50%' WHEN n_chars <= 0.75 * 20000 THEN '50-75%' ELSE '75-100%' END AS share_bin FROM documents")
+def share_bins(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", pressure.contributing_share_bin(F.col("n_chars") / 20000).alias("share_bin"))
+
+
+@query("WITH o AS (SELECT l_orderkey, count(*) AS r, count(DISTINCT l_suppkey) AS c FROM lineitem GROUP BY 1), p AS (SELECT l_orderkey, CASE WHEN c = 1 THEN 0 WHEN c <= 3 THEN 1 WHEN c <= 6 THEN 2 ELSE 3 END + CASE WHEN r <= 1 THEN 0 WHEN r <= 5 THEN 1 WHEN r <= 10 THEN 2 WHEN r <= 20 THEN 3 ELSE 4 END AS s FROM o) SELECT CASE WHEN s <= 1 THEN 'low' WHEN s <= 3 THEN 'medium' ELSE 'high' END AS level, count(*) AS n FROM p GROUP BY 1")
+def output_pressure(t: Tables) -> DataFrame:
+    sizes = t.lineitem.groupBy("l_orderkey").agg(_n("r"), F.count_distinct("l_suppkey").alias("c"))
+    return sizes.groupBy(pressure.output_pressure(pressure.answer_columns_bin(F.col("c")), pressure.answer_rows_bin(F.col("r"))).alias("level")).agg(_n())

@@ -328,3 +328,18 @@ def test_random_streaks_match_brute_force(spark):
             run = run + 1 if b == a + 1 else 1
             best = max(best, run)
         assert got[k] == best
+
+
+def test_pressures(spark):
+    from scorelake.operators import pressure
+
+    rows = [
+        (2, ["batsman"], "entire", False, None, ["select", "where"], 0.5, 3, 1, 1),
+        (7, ["batsman", "bowler"], "first_half", True, "before", ["select", "group_by", "having", "order_by", "limit", "case", "aggregate"], None, 4, 7, 30),
+        (None, ["table_name"], None, None, "between", ["select", "aggregate", "group_by", "case", "subquery"], 0.2, None, None, None),
+    ]
+    df = spark.createDataFrame(rows, "s int, v array<string>, b string, t boolean, r string, c array<string>, f double, k int, x int, y int")
+    got = pressure.add_pressures(df, "s", "v", "b", "t", "r", "c", "f", "k", "x", "y")
+    assert [r["pressure_profile"] for r in got.collect()] == ["G=medium | L=low | E=low | O=low", "G=high | L=high | E=high | O=high", "G=low | L=low | E=medium | O=medium"]
+    assert [r[0] for r in df.select(pressure.sql_class(F.col("c"))).collect()] == ["simple retrieval", "ranked conditional grouped comparison", "conditional grouped aggregation with subquery"]
+    assert [r[0] for r in df.select(pressure.difficulty_band(F.col("s"))).collect()] == ["easy", "expert", "missing_num_steps"]
