@@ -96,12 +96,11 @@ class _Levels:
         # level one: sampled halves that occur more than once, and the rows that hold them
         seeds = self.rows.select("row", "digest", F.explode("seeds").alias("seed"))
         repeated, repeated_uri = store.write_table(seeds.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("seed"), "substring-seeds")
-        held = seeds.join(_bounded(repeated), "seed", "left_semi").groupBy("row", "digest").agg(F.collect_set("seed").alias("live"))
+        held = seeds.join(repeated, "seed", "left_semi").groupBy("row", "digest").agg(F.collect_set("seed").alias("live"))
         owned = held.join(self.copies.withColumnRenamed("n", "__n"), "digest", "left").filter("owner IS NULL OR owner = row").select(F.col("row").alias("__row"), "live", F.col("owner").isNotNull().alias("copied"))
         live, live_uri = store.write_table(owned, "substring-live")
         source = docs.select(F.col(id_col), F.col(text_col).alias("__text"), *(F.col(c).alias(f"__keep_{c}") for c in keep), _digest(F.col(text_col)).alias("__digest")).withColumn("__row", _row(F.col("__digest"), F.col(id_col)))
-        near = source.join(_bounded(store.write_table(live.select("__row"), "substring-keys")[0]), "__row", "left_semi")
-        self.live, self.live_uri = store.write_table(near.join(live, "__row"), "substring-texts")
+        self.live, self.live_uri = store.write_table(source.join(live, "__row"), "substring-texts")
         store.drop(spark, repeated_uri, live_uri)
 
         # level two: full windows around the live halves that occur once after all
