@@ -8,8 +8,8 @@ is verified.  Frequencies only order tokens and price prefixes, so estimates can
 
 Equal sets form a class and are joined once.  Within a class graph only connectivity is asked for,
 so no group is expanded into all its pairs: in each round the documents of a prefix token are
-compared with one hub, what links is contracted, and only pairs of different components go on; once
-those are few, they are listed and verified all.  No candidate is left out.
+compared with a few hubs, what links is contracted, and only pairs of different components go on;
+then those are listed and verified all.  No candidate is left out.
 
 Defined cases: null and wordless texts have the empty set and link with nothing; a text of fewer
 words than a shingle is one shingle; repeated rows and equal sets share a component; null ids never name a
@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import components, store, textbuf
@@ -38,7 +38,9 @@ SUMMARY, REPORTED, HEAVY = 1 << 16, 1 << 12, 1 << 17
 SALTED = 4096
 #: Hub rounds at most before all remaining pairs are listed; listed earlier if the prefix tokens' pairs
 #: are no more than this many for each prefix token.
-ROUNDS, LIST_RATIO = 6, 16
+ROUNDS, LIST_RATIO = 2, 16
+#: Hubs of a token in a round, and of them how many a document is verified against.
+HUBS, VERIFIED = 4, 3
 #: Names that clash, at most; about a thousand are expected in 5 * 10^10 sets.
 MOST_CLASHES = 20_000
 #: Most keys that are broadcast; beyond it the same join is shuffled.
@@ -252,13 +254,16 @@ def _links(prefixes: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
             same = (F.col("token") == F.col("other")) & (F.col("a") < F.col("b")) & (F.col("a_comp") != F.col("b_comp")) & matching
             pairs = _counted(_side(rows, "a").join(two, same)).filter("shared >= m").select("a", "b")
         else:
-            order = F.xxhash64("comp", F.lit(number))
-            hubs = rows.groupBy("token").agg(F.min(F.struct(order.alias("o"), F.col("node"))).alias("hub")).select("token", F.col("hub.node").alias("node"))
-            hubs = _side(rows.join(hubs, ["token", "node"]), "a").withColumnRenamed("token", "other")
+            # about HUBS documents of each token, the same ones in all of their tokens
+            draw = F.pmod(F.xxhash64("node", F.lit(number)), F.lit(1 << 30)) / (1 << 30)
+            hubs = rows.join(open_.select("token", "all"), "token").filter(draw * F.col("all") < HUBS)
+            hubs = _side(hubs, "a").withColumnRenamed("token", "other")
             same = (F.col("token") == F.col("other")) & (F.col("a_comp") != F.col("b_comp")) & matching
-            pairs = _counted(_side(rows, "b").join(hubs, same))
-            # the hub with which a document shares most; other hubs have their turn in later rounds
-            pairs = pairs.groupBy("b").agg(F.max(F.struct("shared", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
+            pairs = _counted(_side(rows, "b").join(hubs, same)).filter("a <> b")
+            # the hubs with which a document shares most; others have their turn in later rounds
+            best = Window.partitionBy("b").orderBy(F.desc("shared"), F.xxhash64("a", "b"))
+            pairs = pairs.withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= VERIFIED).select("a", "b")
+            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         pairs, pairs_uri = store.write_table(pairs, "jaccard-pairs")
         good, _ = store.write_table(_verified(pairs, texts, size, percent), "jaccard-links")
         found = good if found is None else found.union(good)
