@@ -18,8 +18,8 @@ BROADCAST_IDS = 500_000
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts (score of 0.5 or more)."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
-    weights = quality.fit(docs.join(labels, "doc_id").filter(~quality.held_out()))
+    labelled = quality.training_rows(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    weights = quality.fit(labelled, rows=None)
     return quality.score(docs, weights, keep=COLUMNS[1:]).filter("score >= 0.5").select(*COLUMNS)
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import textbuf
+from . import store, textbuf
 
 #: Places of the hashed feature space, as a power of two.
 BITS = 18
@@ -78,8 +78,17 @@ class FtrlModel:
         self.n[places] = n + g * g
 
 
-def fit(labelled: DataFrame, key_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = TRAIN_ROWS, epochs: int | None = None) -> np.ndarray:
-    """Weights (bias last) from at most ``rows`` labelled rows of 0/1 labels.
+def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", rows: int = TRAIN_ROWS) -> DataFrame:
+    """Documents with labels to train on: at most ``rows`` labels that aren't held out, by a hash of the
+    id, broadcast to the documents' scan; texts aren't shuffled."""
+    usable = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).select(id_col, label_col)
+    chosen, _ = store.write_table(usable.orderBy(F.xxhash64(id_col), id_col, label_col).limit(rows), "quality-labels")
+    return docs.join(F.broadcast(chosen), id_col)
+
+
+def fit(labelled: DataFrame, key_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int | None = TRAIN_ROWS, epochs: int | None = None) -> np.ndarray:
+    """Weights (bias last) from at most ``rows`` labelled rows of 0/1 labels (None: all, for rows that are
+    bounded already).
 
     Features are made on the executors; the driver gets a bounded number of sparse rows and runs the
     sequential updates in the order of a hash of key and text, so the model is the same each time.
@@ -87,8 +96,9 @@ def fit(labelled: DataFrame, key_col: str = "doc_id", text_col: str = "text", la
     chosen = (
         labelled.filter(F.col(label_col).isNotNull())
         .select(F.xxhash64(F.col(key_col), F.col(text_col)).alias("__order"), F.col(label_col).cast("int").alias("__label"), F.col(text_col).alias("__text"))
-        .orderBy("__order", "__label").limit(rows)
     )
+    if rows is not None:
+        chosen = chosen.orderBy("__order", "__label").limit(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -28,8 +28,8 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    labelled = docs.join(_table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id").filter(~quality.held_out())
-    scored = quality.score(docs, quality.fit(labelled))
+    labelled = quality.training_rows(docs, _table(spark, sf_dir, "labels"))
+    scored = quality.score(docs, quality.fit(labelled, rows=None))
     return scored.select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
