@@ -78,12 +78,12 @@ class FtrlModel:
         self.n[places] = n + g * g
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", rows: int = TRAIN_ROWS) -> DataFrame:
+def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = TRAIN_ROWS) -> DataFrame:
     """Documents with labels to train on: at most ``rows`` labels that aren't held out, by a hash of the
     id, broadcast to the documents' scan; texts aren't shuffled."""
     usable = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).select(id_col, label_col)
     chosen, _ = store.write_table(usable.orderBy(F.xxhash64(id_col), id_col, label_col).limit(rows), "quality-labels")
-    return docs.join(F.broadcast(chosen), id_col)
+    return docs.select(id_col, text_col).join(F.broadcast(chosen), id_col)
 
 
 def fit(labelled: DataFrame, key_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int | None = TRAIN_ROWS, epochs: int | None = None) -> np.ndarray:

@@ -147,6 +147,8 @@ def test_quality_learns_and_scores_whole_texts(spark):
     assert alone == scored[7]
     assert quality.score(df.filter("doc_id < 0"), weights).count() == 0
     assert set(r["score"] for r in quality.score(df, quality.fit(df.filter("false"))).collect()) == {0.5}
+    chosen = quality.training_rows(df, df.select("doc_id", "quality"), rows=40)
+    assert chosen.columns == ["doc_id", "text", "quality"] and chosen.count() == 40 and chosen.filter(quality.held_out()).count() == 0
 
 
 def test_held_out_is_crc_of_the_id(spark):
