@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard, media, quality, sharding, store, substring, token_counts, warc
+from . import bpe, decontaminate, jaccard, licences, media, quality, sharding, store, substring, token_counts, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -37,6 +37,11 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join_components(_table(spark, sf_dir, "documents"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.scan(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_known", F.array_join("licences", ",").alias("licences"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages")
     folder = store.new_folder(spark, "warc")
@@ -71,7 +76,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op2_quality_classifier, op3_jaccard_join, op5_warc, op6_media_columns, op7_sharding, op8_bpe, op9_substring_dedup, op10_token_counts)
+    f.__name__: f for f in (op1_decontamination, op2_quality_classifier, op3_jaccard_join, op4_license_scan, op5_warc, op6_media_columns, op7_sharding, op8_bpe, op9_substring_dedup, op10_token_counts)
 }
 
 #: DuckDB list of the words of a text, as the decontamination contract has them.
@@ -110,6 +115,17 @@ FROM d LEFT JOIN kept USING (doc_id)""",
 }
 
 
+_KNOWN = ", ".join(f"('{k}', '{v}')" for k, v in licences.SENTENCES.items())
+_NAMES = ", ".join(f"CASE WHEN regexp_matches(ids, '{rule}') THEN '{name}' END" for name, rule in sorted(licences.RULES))
+ORACLE["op4_license_scan"] = rf"""
+WITH c AS (SELECT doc_id, string_split_regex(regexp_replace(coalesce(text, ''), '([.!?])[ \t\n\f\r]+', '\1' || chr(10), 'g'), '\n+') AS w FROM documents),
+u AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS s FROM c),
+n AS (SELECT doc_id, i, regexp_replace(trim(regexp_replace(lower(s), '[^a-z0-9.+-]+', ' ', 'g')), '\.+$', '') AS s FROM u),
+k AS (SELECT doc_id, string_agg(coalesce(v.id, '-'), '' ORDER BY i) AS ids FROM n LEFT JOIN (VALUES {_KNOWN}) AS v(s, id) ON n.s = v.s WHERE n.s <> '' GROUP BY doc_id)
+SELECT d.doc_id, CAST(length(replace(coalesce(ids, ''), '-', '')) AS BIGINT) AS n_known, coalesce(concat_ws(',', {_NAMES}), '') AS licences
+FROM documents d LEFT JOIN k ON k.doc_id = d.doc_id"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

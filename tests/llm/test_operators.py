@@ -8,7 +8,7 @@ from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
-from scorelake.llm import bpe, components, decontaminate, jaccard, media, quality, sharding, store, substring, token_counts, warc
+from scorelake.llm import bpe, components, decontaminate, jaccard, licences, media, quality, sharding, store, substring, token_counts, warc
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, score double, key string, row bigint, win string"
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
@@ -128,6 +128,16 @@ def test_proximity(spark, docs, texts):
     assert found == want
 
 
+# licences
+
+
+def test_licences(spark, docs, empty):
+    texts = [None, "", "Released under the MIT License.\nOnce. LICENSED under CC BY-NC 4.0! x", "Permission is hereby granted, free of charge, to any person obtaining a copy.\n\nSome words.\nThe software is provided \"as is\", without warranty of any kind.", "The software is provided as is, without warranty of any kind. Permission is hereby granted, free of charge, to any person obtaining a copy.", "All rights reserved" + " word" * 9000, "x. All rights reserved."]
+    got = by_id(licences.scan(spark.createDataFrame(rows_of(texts), SCHEMA)))
+    assert [(got[i]["n_known"], got[i]["licences"]) for i in range(7)] == [(0, []), (0, []), (2, ["CC-BY-NC-4.0", "MIT"]), (2, ["MIT"]), (2, []), (0, []), (1, ["Proprietary"])]
+    assert licences.scan(empty).count() == 0 and licences.scan(docs).count() == docs.count()
+
+
 # quality
 
 
