@@ -166,6 +166,102 @@ def test_held_out_is_crc_of_the_id(spark):
     assert got == {i: zlib.crc32(str(i).encode()) % 3 == 1 for i in range(50)}
 
 
+MIT = """Copyright (c) 2020 Jane Doe
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+APACHE = """# Copyright 2021 X
+#
+# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS,
+# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+# See the License for the specific language governing permissions and
+# limitations under the License.
+import os
+"""
+BSD = """Copyright (c) 2019, The Foo Project. All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE
+FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER
+CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY,
+OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE
+OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.
+"""
+GPL = """/* This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+ * GNU General Public License for more details.
+ *
+ * You should have received a copy of the GNU General Public License
+ * along with this program.  If not, see <https://www.gnu.org/licenses/>.
+ */
+int x;"""
+MPL = """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at https://mozilla.org/MPL/2.0/. */
+"""
+
+
+def test_licences_of_whole_wrapped_texts(spark):
+    bsd2 = BSD[: BSD.index("3. Neither")] + BSD[BSD.index("THIS SOFTWARE") :]
+    cases = [
+        (MIT, 4, ["MIT"]), ("The MIT License (MIT)\n\n" + MIT, 5, ["MIT"]), (APACHE, 4, ["Apache-2.0"]), (BSD, 7, ["BSD-3-Clause"]), (bsd2, 6, ["BSD-2-Clause"]),
+        (GPL, 4, ["GPL-3.0-or-later"]), (GPL.replace("General", "Lesser General").replace("version 3", "version 2.1"), 4, ["LGPL-2.1-or-later"]), (MPL, 2, ["MPL-2.0"]),
+        ("GNU LESSER GENERAL PUBLIC LICENSE\n    Version 3, 29 June 2007\n\nCopyright", 1, ["LGPL-3.0"]),
+        ("This work is licensed under the GNU General Public License,\nversion 3.", 1, ["GPL-3.0"]),
+        ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0\nInternational License. Words.", 1, ["CC-BY-SA-4.0"]),
+        ("Note: Released under the MIT License.", 1, ["MIT"]), ("Foo is released under MIT.", 1, ["MIT"]), ("License: MIT", 1, ["MIT"]),
+        ("// SPDX-License-Identifier: (MIT OR apache-2.0)\n/* SPDX-License-Identifier: GPL-2.0-only WITH Linux-syscall-note */", 2, ["Apache-2.0", "GPL-2.0-only", "MIT"]),
+        ("We like the MIT License for its short text.", 0, []),
+    ]
+    got = by_id(licences.scan(spark.createDataFrame(rows_of([t for t, _, _ in cases]), SCHEMA)))
+    assert [(got[i]["n_known"], got[i]["licences"]) for i in range(len(cases))] == [(n, names) for _, n, names in cases]
+
+
 # Jaccard join
 
 
