@@ -14,6 +14,8 @@ from scorelake.llm import bpe, decontaminate, jaccard, quality, store, substring
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Most ids of dropped documents that are broadcast; beyond it the same join is shuffled.
 BROADCAST_IDS = 500_000
+#: Words of a shingle and the least similarity, in hundredths, of near duplicates.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +27,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicate_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each group that similarity links join."""
-    groups = jaccard.join_components(docs)
+    groups = jaccard.join_components(docs, size=NEAR_WORDS, percent=NEAR_PERCENT)
     others, _ = store.write_table(groups.filter("component_id <> doc_id").select("doc_id"), "pipeline-others")
     if others.count() <= BROADCAST_IDS:
         others = F.broadcast(others)

@@ -560,3 +560,15 @@ def test_pipeline_stages_keep_columns(spark, tmp_path):
             assert sorted(got) == ids
         assert 0 < len(got) <= len(before)
         docs = after
+
+
+def test_near_duplicate_stage_links_at_five_words_and_four_fifths(spark):
+    import corpus_pipeline
+
+    base = [f"w{i}" for i in range(200)]
+    changed = base[:100] + [f"c{i}" for i in range(15)] + base[115:]
+    texts = [" ".join(base), " ".join(base + [f"a{i}" for i in range(40)]), " ".join(changed), " ".join(base[:100] + [f"z{i}" for i in range(100)])]
+    kept = corpus_pipeline.near_duplicate_filter(spark, spark.createDataFrame(rows_of(texts), SCHEMA), "")
+    sets = [shingles(t, 5) for t in texts]
+    assert [5 * len(sets[0] & s) >= 4 * len(sets[0] | s) for s in sets] == [True, True, True, False]
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 3]
