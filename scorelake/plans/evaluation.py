@@ -150,6 +150,13 @@ def template_placeholders(t: Tables) -> DataFrame:
     return t.documents.filter("doc_id < 50").select("doc_id", F.array_join(F.array_sort(text.placeholders(asked)), ",").alias("vars"))
 
 
+@query("SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text || ' {name} {other} {name}', '\\{([^}]+)\\}', 1))), ',') AS vars FROM documents")
+def template_placeholders_all(t: Tables) -> DataFrame:
+    """``template_placeholders`` over all documents."""
+    asked = F.concat(F.col("text"), F.lit(" {name} {other} {name}"))
+    return t.documents.select("doc_id", F.array_join(F.array_sort(text.placeholders(asked)), ",").alias("vars"))
+
+
 @query("SELECT doc_id, concat_ws(',', CASE WHEN lang <> 'en' THEN 'foreign' END, CASE WHEN source = 'src0' THEN 'hot' END, CASE WHEN n_chars > 1000 THEN 'long' END) AS splits FROM documents")
 def split_labels(t: Tables) -> DataFrame:
     labels = {"long": F.col("n_chars") > 1000, "foreign": F.col("lang") != "en", "hot": F.col("source") == "src0"}

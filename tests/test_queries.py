@@ -42,3 +42,8 @@ def test_plans_push_filters_and_columns(spark):
     assert "PushedFilters: [IsNotNull(l_returnflag), EqualTo(l_returnflag,R)]" in plan and "ReadSchema: struct<l_returnflag:string>" in plan
     for name in ("argmax_ties", "join_interval", "corr_count_window", "exists_within_k"):
         assert "CartesianProduct" not in catalog.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_placeholders_of_all_documents(spark):
+    ids = {r["doc_id"] for r in catalog.queries()["template_placeholders_all"](spark, SF).collect()}
+    assert ids == {r["doc_id"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").collect()} and max(ids) >= 50
