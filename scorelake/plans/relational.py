@@ -396,6 +396,12 @@ def cast_rounds_half_even(t: Tables) -> DataFrame:
     return t.lineitem.filter("l_orderkey < 200").select("l_orderkey", "l_linenumber", op.cast_integer(F.col("l_quantity") / 4).alias("quarter"))
 
 
+@query("SELECT l_orderkey, l_linenumber, CAST(l_quantity / 4 AS BIGINT) AS quarter FROM lineitem")
+def cast_rounds_half_even_all(t: Tables) -> DataFrame:
+    """``cast_rounds_half_even`` over the whole table."""
+    return t.lineitem.select("l_orderkey", "l_linenumber", op.cast_integer(F.col("l_quantity") / 4).alias("quarter"))
+
+
 @query("SELECT p_brand, lower(p_type) || ':' || p_brand AS tag, replace(p_name, ' ', '_') AS slug, abs(p_size - 25) AS off FROM part")
 def text_functions(t: Tables) -> DataFrame:
     return t.part.select("p_brand", F.concat(F.lower("p_type"), F.lit(":"), F.col("p_brand")).alias("tag"), F.replace("p_name", F.lit(" "), F.lit("_")).alias("slug"), F.abs(F.col("p_size") - 25).alias("off"))
