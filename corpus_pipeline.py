@@ -26,12 +26,24 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group that similarity links join."""
-    groups = jaccard.join_components(docs, size=NEAR_WORDS, percent=NEAR_PERCENT)
-    others, _ = store.write_table(groups.filter("component_id <> doc_id").select("doc_id"), "pipeline-others")
-    if others.count() <= BROADCAST_IDS:
-        others = F.broadcast(others)
-    return docs.join(others, "doc_id", "left_anti").select(*COLUMNS)
+    """One row of each group that similarity links join: that of the smallest id, nulls last.
+
+    Of several texts of that id in a group the one of the smallest digest stays, of equal rows (id and
+    text) the one whose other columns are least.  Texts without words link with nothing and all stay;
+    so do texts of one id that no link joins."""
+    groups = jaccard.join_components(docs, size=NEAR_WORDS, percent=NEAR_PERCENT, mark_first=True)
+    counted = groups.filter("n_shingles > 0").groupBy("digest", "row", "first").agg(F.count(F.lit(1)).alias("n"))
+    others, _ = store.write_table(counted.filter("NOT first OR n > 1").select(F.col("digest").alias("__digest"), F.col("row").alias("__row"), "first"), "pipeline-others")
+    bounded = lambda keys: F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys
+    digest, row = jaccard.text_key(F.col("doc_id"), F.col("text"))
+    keyed = docs.select(*COLUMNS, digest.alias("__digest"), row.alias("__row"))
+    stays = keyed.join(bounded(others.drop("first")), ["__digest", "__row"], "left_anti").select(*COLUMNS)
+    repeated = others.filter("first").drop("first")
+    if repeated.isEmpty():
+        return stays
+    once = keyed.join(bounded(repeated), ["__digest", "__row"], "left_semi")
+    once = once.groupBy("__digest", "__row").agg(F.min(F.struct(*COLUMNS)).alias("kept")).select("kept.*")
+    return stays.unionByName(once)
 
 
 def repeat_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -91,7 +91,7 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def _text_key(id_: Column, text: Column) -> tuple[Column, Column]:
+def text_key(id_: Column, text: Column) -> tuple[Column, Column]:
     return F.md5(F.coalesce(text, F.lit("")).cast("binary")).alias("digest"), F.coalesce(id_.cast("string"), F.lit("")).alias("row")
 
 
@@ -125,7 +125,7 @@ def _profile(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFram
     from pyspark.sql.pandas.types import to_arrow_type
 
     out_type = to_arrow_type(docs.schema[id_col].dataType)
-    digest, row = _text_key(F.col(id_col), F.col(text_col))
+    digest, row = text_key(F.col(id_col), F.col(text_col))
     return docs.select(F.col(id_col), digest, row, F.col(text_col)).mapInArrow(run, f"`{id_col}` {id_type}, digest string, row string, n bigint, set string, shingle bigint, df bigint")
 
 
@@ -274,9 +274,13 @@ def _links(prefixes: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     return labels if labels is not None else spark.createDataFrame([], "node bigint, comp bigint")
 
 
-def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT, mark_first: bool = False) -> DataFrame:
     """For every row of ``docs``: ``id_col``, ``n_shingles`` and ``component_id``, the smallest id among the
-    documents that links reach from it, itself included."""
+    documents that links reach from it, itself included.
+
+    With ``mark_first`` also ``digest`` and ``row`` (of text and id, as strings) and ``first``: whether the row has
+    its component's smallest id, nulls last, and of that id's texts in it the one of the smallest
+    digest.  Only equal rows are first together; a row without words always is."""
     spark = docs.sparkSession
     profile, _ = store.write_table(_profile(docs, id_col, text_col, size), "jaccard-profile")
     rows = profile.filter("set IS NOT NULL").drop("shingle", "df")
@@ -285,9 +289,10 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     order = np.argsort(keys)
 
     # a class for each distinct set: its 64-bit node, and the row whose text stands for it
-    classes = rows.filter("n > 0").groupBy("set").agg(F.min(id_col).alias("least"), F.min(F.struct("digest", "row")).alias("owner"))
+    classes = rows.filter("n > 0").groupBy("set").agg(F.min(id_col).alias("least"), F.min(F.struct("digest", "row")).alias("owner"), *([F.min(F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), "digest")).alias("first")] if mark_first else []))
+    firsts = ["first"] if mark_first else []
     node = F.conv(F.substring("set", 1, 15), 16, 10).cast("bigint")
-    classes, _ = store.write_table(classes.select(node.alias("node"), "set", "least", "owner.digest", "owner.row"), "jaccard-classes")
+    classes, _ = store.write_table(classes.select(node.alias("node"), "set", "least", "owner.digest", "owner.row", *firsts), "jaccard-classes")
     clashes = classes.groupBy("node").agg(F.collect_list("set").alias("sets"), F.count(F.lit(1)).alias("k")).filter("k > 1").limit(MOST_CLASHES).collect()
     if len(clashes) == MOST_CLASHES:
         raise ValueError("too many sets for 60-bit names")
@@ -296,7 +301,7 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         names = spark.createDataFrame(list(moved.items()), "set string, other bigint")
         classes = classes.join(F.broadcast(names), "set", "left").withColumn("node", F.coalesce("other", "node")).drop("other")
 
-    digest, row = _text_key(F.col(id_col), F.col(text_col))
+    digest, row = text_key(F.col(id_col), F.col(text_col))
     source = docs.select(digest, row, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     idle, _ = store.write_table(rows.join(classes.select("digest", "row"), ["digest", "row"], "left_anti").select("digest", "row").distinct(), "jaccard-idle")
     owners = source.join(_bounded(idle), ["digest", "row"], "left_anti").select("text")
@@ -308,9 +313,13 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = _links(prefixes, texts, size, percent)
     store.drop(spark, prefixes_uri, texts_uri)
 
-    named = classes.select("node", "set", "least").join(labels, "node")
-    named, _ = store.write_table(named.select("set", "comp", "least"), "jaccard-named")
-    lowest = named.groupBy("comp").agg(F.min("least").alias("component_id"))
-    of_set = classes.select("set", "least").join(named.join(lowest, "comp").select("set", "component_id"), "set", "left").select("set", F.coalesce("component_id", "least").alias("component_id"))
-    alone = rows.filter("n = 0").select(id_col, F.col("n").alias("n_shingles"), F.col(id_col).alias("component_id"))
-    return rows.filter("n > 0").join(of_set, "set").select(id_col, F.col("n").alias("n_shingles"), "component_id").unionByName(alone)
+    named = classes.select("node", "set", "least", *firsts).join(labels, "node")
+    named, _ = store.write_table(named.select("set", "comp", "least", *firsts), "jaccard-named")
+    lowest = named.groupBy("comp").agg(F.min("least").alias("component_id"), *(F.min(c).alias(f"comp_{c}") for c in firsts))
+    joined = named.join(lowest, "comp").select("set", "component_id", *(f"comp_{c}" for c in firsts))
+    of_set = classes.select("set", "least", *firsts).join(joined, "set", "left").select("set", F.coalesce("component_id", "least").alias("component_id"), *(F.coalesce(f"comp_{c}", c).alias(c) for c in firsts))
+    marks = [F.col("digest"), F.col("row")] if mark_first else []
+    own = [(F.col(id_col).eqNullSafe(F.col("first.id")) & (F.col("digest") == F.col("first.digest"))).alias("first")] if mark_first else []
+    every = [F.lit(True).alias("first")] if mark_first else []
+    alone = rows.filter("n = 0").select(id_col, F.col("n").alias("n_shingles"), F.col(id_col).alias("component_id"), *marks, *every)
+    return rows.filter("n > 0").join(of_set, "set").select(id_col, F.col("n").alias("n_shingles"), "component_id", *marks, *own).unionByName(alone)

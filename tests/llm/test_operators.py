@@ -572,3 +572,17 @@ def test_near_duplicate_stage_links_at_five_words_and_four_fifths(spark):
     sets = [shingles(t, 5) for t in texts]
     assert [5 * len(sets[0] & s) >= 4 * len(sets[0] | s) for s in sets] == [True, True, True, False]
     assert sorted(r["doc_id"] for r in kept.collect()) == [0, 3]
+
+
+def test_near_duplicate_stage_keeps_one_row_of_repeated_and_null_ids(spark):
+    import corpus_pipeline
+
+    one, two, three = (" ".join(f"{c}{i}" for i in range(60)) for c in "xyz")
+    texts = [one, one, one + " end", two, two, two + " end", three, three, three + " end", None, "", one.replace("x", "v")]
+    ids = [5, 5, 5, None, None, None, None, 8, 7, None, 9, 5]
+    frame = spark.createDataFrame(rows_of(texts, ids), SCHEMA)
+    kept, _ = store.write_table(corpus_pipeline.near_duplicate_filter(spark, frame, ""), "pipeline-test")
+    got = [(r["doc_id"], (r["text"] or "")[:1]) for r in kept.collect()]
+    assert sorted(got, key=str) == sorted([(5, "x"), (5, "v"), (None, "y"), (7, "z"), (None, ""), (9, "")], key=str)
+    words = [len((r["text"] or "").split()) for r in corpus_pipeline.repeat_filter(spark, kept, "").collect()]
+    assert sorted(words)[:2] == [0, 0] and min(sorted(words)[2:]) >= 60
