@@ -6,6 +6,7 @@ executors share.  Only where that setting is absent (single-machine tests) is a
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,6 +17,8 @@ def shared_root(spark: SparkSession) -> str:
     """Folder that driver and executors share, taken from the session; own one only if unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="scorelake-shared-")
         spark.conf.set("spark.checkpoint.dir", root)
         spark.sparkContext.setCheckpointDir(root)
@@ -46,6 +49,26 @@ def drop(spark: SparkSession, *uris: str) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def sweep(spark: SparkSession, folder: str, pattern: str) -> None:
+    """Delete the files of ``folder`` whose names match ``pattern``."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{pattern}")
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    drop(spark, *(status.getPath().toString() for status in found or ()))
+
+
+#: Bytes of rows that a Python worker is sent at once, unless one row alone has more.
+BATCH_BYTES = 2 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Have the session send Arrow batches of at most ``BATCH_BYTES``: texts differ in length, so a number
+    of rows doesn't bound a worker's memory.  A smaller limit of the session stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(re.match(r"-?\d+", spark.conf.get(name))[0]) <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def default_parallelism(spark: SparkSession) -> int:
     """Partition count for deliberate shuffles, as the session sets it."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
