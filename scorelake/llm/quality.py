@@ -2,11 +2,12 @@
 follow-the-regularised-leader (FTRL-proximal) updates, scored as sparse dot products.
 
 Features are word unigrams and bigrams of the whole text, hashed into ``2 ** BITS`` places, with
-square-rooted counts scaled to unit length; a bigram of a word with itself is one feature.  Words are split at ASCII white space and A-Z are lower-cased.
+square-rooted counts scaled to unit length; a bigram of a word with itself is one feature.  Words are
+split at ASCII white space and A-Z are lower-cased.
 
 Defined cases: null scores like the empty text (the bias alone); repeated rows and null ids stay;
-labels that are null don't train; if no labelled row remains every score is the prior 0.5; other
-columns are ignored; the score of a text doesn't depend on its batch.
+labels that are null don't train; if no labelled row remains every score is the prior 0.5; rows that
+tie on text and label are interchangeable; other columns are ignored; the score of a text doesn't depend on its batch.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from . import store, textbuf
 BITS = 18
 #: Most labelled rows that a fit takes; which ones is decided by a hash of the row's key.
 TRAIN_ROWS = 20_000
+#: Most bytes of features that a fit takes; beyond it rows are left out, last in order first.
+TRAIN_BYTES = 128 << 20
 #: Updates that a fit aims at; fewer rows are passed over more often, within these bounds.
 UPDATES, LEAST_EPOCHS, MOST_EPOCHS = 50_000, 4, 40
 
@@ -86,41 +89,55 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     return docs.select(id_col, text_col).join(F.broadcast(chosen), id_col)
 
 
-def fit(labelled: DataFrame, key_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int | None = TRAIN_ROWS, epochs: int | None = None) -> np.ndarray:
+def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "quality", rows: int | None = TRAIN_ROWS, epochs: int | None = None, most_bytes: int = TRAIN_BYTES) -> np.ndarray:
     """Weights (bias last) from at most ``rows`` labelled rows of 0/1 labels (None: all, for rows that are
-    bounded already).
+    bounded already) with at most ``most_bytes`` of features (8 bytes each).
 
-    Features are made on the executors; the driver gets a bounded number of sparse rows and runs the
-    sequential updates in the order of a hash of key and text, so the model is the same each time.
+    Features are made where the rows are and written; one task on an executor runs the sequential
+    updates over them, in the order of a digest of the text and then the label, so the model is the
+    same each time.  The driver gets the weights alone.
     """
-    chosen = (
-        labelled.filter(F.col(label_col).isNotNull())
-        .select(F.xxhash64(F.col(key_col), F.col(text_col)).alias("__order"), F.col(label_col).cast("int").alias("__label"), F.col(text_col).alias("__text"))
-    )
+    spark = labelled.sparkSession
+    store.bounded_batches(spark)
+    chosen = labelled.filter(F.col(label_col).isNotNull()).select(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("ord"), F.col(label_col).cast("int").alias("label"), F.col(text_col).alias("__text"))
     if rows is not None:
-        chosen = chosen.orderBy("__order", "__label").limit(rows)
+        chosen = chosen.orderBy("ord", "label").limit(rows)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, end, offsets, raw in textbuf.slices(batch.column(2)):
                 bounds, places, values = featurise(offsets, raw)
-                packed = [pa.array([x[a:b].astype(t).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()) for x, t in ((places, np.int32), (values, np.float32))]
+                packed = [pa.array([x[a:b].astype(t).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()) for x, t in ((places, "<i4"), (values, "<f4"))]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[first:end], batch.column(1)[first:end], *packed], ["ord", "label", "places", "vals"])
 
-    model = FtrlModel()
-    examples = sorted(chosen.mapInArrow(run, "ord bigint, label int, places binary, vals binary").collect(), key=lambda r: (r.ord, r.label, r.places))
-    epochs = epochs or min(MOST_EPOCHS, max(LEAST_EPOCHS, UPDATES // max(1, len(examples))))
-    for _ in range(epochs):
-        for r in examples:
-            model.update(np.frombuffer(r.places, np.int32), np.frombuffer(r.vals, np.float32).astype(np.float64), r.label)
-    return model.weights()
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        examples, held = [], 0
+        for batch in batches:
+            for label, places, values in zip(*(batch.column(i) for i in (1, 2, 3)), strict=True):
+                held += len(places.as_buffer()) + len(values.as_buffer())
+                if held > most_bytes:
+                    break
+                examples.append((np.frombuffer(places.as_py(), "<i4"), np.frombuffer(values.as_py(), "<f4"), label.as_py()))
+            if held > most_bytes:
+                break
+        model = FtrlModel()
+        for _ in range(epochs or min(MOST_EPOCHS, max(LEAST_EPOCHS, UPDATES // max(1, len(examples))))):
+            for places, values, label in examples:
+                model.update(places, values.astype(np.float64), label)
+        yield pa.RecordBatch.from_arrays([pa.array([model.weights().astype("<f8").tobytes()], pa.binary())], ["weights"])
+
+    made, uri = store.write_table(chosen.mapInArrow(make, "ord string, label int, places binary, vals binary"), "quality-features")
+    found = made.coalesce(1).sortWithinPartitions("ord", "label", "places").mapInArrow(train, "weights binary").collect()
+    store.drop(spark, uri)
+    return np.frombuffer(found[0].weights, "<f8") if found else FtrlModel().weights()
 
 
 def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """``id_col`` and the columns ``keep`` with ``score`` (0 to 1) for every row; one pass, no shuffle.
 
-    The weights, of fixed size whatever the data, go out as one broadcast."""
+    The weights, of fixed size whatever the data, go out as one broadcast, which goes with the frame."""
     spark = docs.sparkSession
+    store.bounded_batches(spark)
     sent = spark.sparkContext.broadcast(weights)
     names = [id_col, *keep]
 
