@@ -27,11 +27,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import store, textbuf
+
 #: Pre-token pattern of byte-level BPE files that set use_regex (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _NEVER = 1 << 62
 #: Entries after which a process empties its caches; they save time only.
-CACHE_WORDS, CACHE_PAIRS, CACHED_LENGTH = 250_000, 400_000, 64
+CACHE_WORDS, CACHE_PAIRS, CACHED_LENGTH = 120_000, 200_000, 64
 
 
 #: White space right before a blank.
@@ -202,6 +204,7 @@ class BpeCodec:
 
 
 _CODECS: dict[str, BpeCodec] = {}
+textbuf.KEPT.append(_CODECS)
 
 
 def codec(path: str) -> BpeCodec:
@@ -246,6 +249,7 @@ def encode_decode(
     (if ``with_text``), ``ids_sha256`` and ``decoded_sha256``.  One row for each input row: null
     texts have no ids, repeated rows and null ids stay, other columns are ignored.
     """
+    store.bounded_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
     wanted = [("ids", pa.string())] * with_ids + [("decoded", pa.string())] * with_text
     schema = f"`{id_col}` {id_type}, n_tokens bigint" + "".join(f", {n} string" for n, _ in wanted) + ", ids_sha256 string, decoded_sha256 string"
