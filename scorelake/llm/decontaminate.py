@@ -1,13 +1,14 @@
 """Benchmark decontamination over a distributed positional inverted index (DataFrame operations only).
 
-``build_index`` stores training token postings (term, row key, position).  A phrase search takes each
-phrase's rarest terms by corpus frequency, shifts their postings back by the terms' offsets in the phrase, and
-intersects the shifted lists; what is left is compared with the words of its rows, so matches are
-exact.  ``proximity_matches`` returns rows in which all terms of a phrase stand within a span.
+``build_index`` stores training token postings (term, row key, position) of all words, for any number of
+benchmarks.  A phrase search takes each phrase's rarest terms by corpus frequency, shifts their postings
+back by the terms' offsets in the phrase, and intersects the shifted lists; what is left is compared
+with the digest of the words that stand there, so matches are exact.  A text is split once for that,
+into a written table.  ``proximity_matches`` returns rows in which all terms of a phrase stand within a span.
 
-The index is partitioned by document: postings are written where their rows were read, and only
-those of the terms asked for, so that neither texts nor full posting lists are shuffled.  What the
-intersection leaves is as large as the matches.
+The index is partitioned by document: postings are written where their rows were read, so that
+neither texts nor full posting lists are shuffled; a search reads the terms' column of all.  What the
+intersection leaves is as large as the matches, and carries numbers and digests, not words.
 
 Words are runs of ASCII digits and letters (A-Z lower-cased) and all non-ASCII characters.
 
@@ -29,8 +30,8 @@ from . import store
 WINDOW = 13
 #: How many of a window's rarest terms have their lists intersected.
 RAREST = 2
-#: Most rows of a table that is broadcast; beyond it the same join is shuffled.
-BROADCAST_ROWS = 300_000
+#: Most bytes of a table that is broadcast; beyond it the same join is shuffled.
+BROADCAST_BYTES = 48 << 20
 
 _SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -47,33 +48,33 @@ def row_key(id_: Column, text: Column) -> Column:
     return F.unhex(F.md5(F.concat(F.md5(F.coalesce(text, F.lit(""))), F.lit(":"), F.coalesce(id_.cast("string"), F.lit("")))))
 
 
-def _bounded(df: DataFrame) -> DataFrame:
-    """``df``, a written table, marked for broadcast if it is small enough."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def _bounded(df: DataFrame, row_bytes: int | Column) -> DataFrame:
+    """``df``, a written table, marked for broadcast if its rows (with their bytes given) are small enough."""
+    size = df.agg(F.sum(row_bytes if isinstance(row_bytes, Column) else F.lit(row_bytes)).alias("n")).first()[0] or 0
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
 @dataclass
 class PositionalIndex:
-    """Stored postings: ``term`` (number), ``key`` (row), ``pos``; and ``terms``: term, word, df."""
+    """Stored postings of all words: ``term`` (hash of the word), ``key`` (row), ``pos``."""
 
     postings: DataFrame
-    terms: DataFrame
-    uris: tuple[str, ...]
+    uri: str
 
 
-def build_index(docs: DataFrame, vocabulary: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> PositionalIndex:
-    """Store the postings of the words in ``vocabulary`` (column ``word``) over all of ``docs``.
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> PositionalIndex:
+    """Store the postings of all words of ``docs``.  Terms are 64-bit hashes, which finding places may
+    confuse; comparing them doesn't."""
+    terms = F.transform(words(F.col(text_col)), lambda w: F.xxhash64(w))
+    tokens = docs.select(row_key(F.col(id_col), F.col(text_col)).alias("key"), terms.alias("w")).select("key", F.posexplode("w").alias("pos", "term"))
+    return PositionalIndex(*store.write_table(tokens.select("term", "key", "pos"), "index-postings"))
 
-    ``df`` is the number of postings of a term: the cost of reading its list.
-    """
-    numbered = vocabulary.select("word").filter("word <> ''").distinct().select("word", F.xxhash64("word").alias("term"))
-    numbered, vocabulary_uri = store.write_table(numbered, "index-vocabulary")
-    source = docs.select(row_key(F.col(id_col), F.col(text_col)).alias("key"), words(F.col(text_col)).alias("w"))
-    tokens = source.select("key", F.posexplode("w").alias("pos", "word"))
-    postings, postings_uri = store.write_table(tokens.join(_bounded(numbered), "word").select("term", "key", "pos"), "index-postings")
-    frequency = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    terms, terms_uri = store.write_table(numbered.join(frequency, "term", "left").select("term", "word", F.coalesce("df", F.lit(0)).alias("df")), "index-terms")
-    return PositionalIndex(postings, terms, (vocabulary_uri, postings_uri, terms_uri))
+
+def _with_frequency(index: PositionalIndex, spelled: DataFrame) -> DataFrame:
+    """``spelled`` (with ``word``) with each word's ``term`` and ``df``, the length of its list: what reading it costs."""
+    wanted, _ = store.write_table(spelled.select(F.xxhash64("word").alias("term")).distinct(), "index-wanted")
+    frequency = index.postings.select("term").join(_bounded(wanted, 32), "term").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return spelled.withColumn("term", F.xxhash64("word")).join(frequency, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
 
 
 def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -85,47 +86,74 @@ def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "tex
 
 
 def phrase_candidates(index: PositionalIndex, windows: DataFrame) -> DataFrame:
-    """Places at which the rarest terms of a window stand as the window has them: ``key``, ``win``,
-    ``start``; ``windows`` has distinct ``win``.  A window with a term that never occurs has none."""
-    spelled = windows.select("win", F.posexplode("win").alias("off", "word")).join(index.terms, "word", "left")
-    rank = Window.partitionBy("win").orderBy(F.coalesce("df", F.lit(0)), "off")
-    rarest = spelled.withColumn("nth", F.row_number().over(rank)).filter(F.col("nth") <= RAREST)
-    wanted = rarest.select("win", "off", "term", F.coalesce("df", F.lit(0)).alias("df"))
-    possible = wanted.groupBy("win").agg(F.min("df").alias("least"), F.count(F.lit(1)).alias("lists")).filter("least > 0").select("win", "lists")
-    anchors = wanted.join(possible, "win").select("term", "off", "win", "lists")
-    anchors, _ = store.write_table(anchors.withColumn("window", F.unhex(F.md5(F.array_join("win", " ")))), "index-anchors")
-    shifted = index.postings.join(_bounded(anchors.select("term", "off", "window", "lists")), "term").select("key", "window", "lists", (F.col("pos") - F.col("off")).alias("start"), "off").filter("start >= 0")
-    met = shifted.groupBy("key", "window", "start").agg(F.size(F.collect_set("off")).alias("n"), F.max("lists").alias("lists")).filter("n = lists").select("key", "window", "start")
-    return met.join(_bounded(anchors.select("window", "win").distinct()), "window").select("key", "win", "start")
-
-
-def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Places at which the rarest terms of a window stand as the window has them: ``key``, ``window``,
+    ``n``, ``start``; ``windows`` has ``window`` (its digest) and ``win``.  A window with a term that never
+    occurs has none."""
+    spelled = _with_frequency(index, windows.select("window", F.size("win").alias("n"), F.posexplode("win").alias("off", "word")))
+    rarest = spelled.withColumn("nth", F.row_number().over(Window.partitionBy("window").orderBy("df", "off"))).filter(F.col("nth") <= RAREST)
+    whole = Window.partitionBy("window")
+    anchors = rarest.select("term", "window", "n", "off", "nth", F.min("df").over(whole).alias("least"), F.count(F.lit(1)).over(whole).alias("lists")).filter("least > 0").drop("least")
+    anchors, anchors_uri = store.write_table(anchors, "index-anchors")
+    shifted = index.postings.join(_bounded(anchors, 80), "term").select("key", "window", "n", "lists", (F.col("pos") - F.col("off")).alias("start"), "nth").filter("start >= 0")
+    met = shifted.groupBy("key", "window", "n", "lists", "start").agg(F.bit_or(F.expr("shiftleft(1, nth)")).alias("which")).filter("bit_count(which) = lists")
+    candidates, _ = store.write_table(met.select("key", "window", "n", "start"), "index-candidates")
+    store.drop(windows.sparkSession, anchors_uri)
+    return candidates
+
+
+def phrase_matches(candidates: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``key`` and its ``hits`` (start, n, window), for the rows with any: the candidates at which the words of
+    the window stand.  Each row's text is split once."""
+    spark = docs.sparkSession
+    keys, keys_uri = store.write_table(candidates.select("key").distinct(), "index-keys")
+    texts = docs.select(row_key(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).alias("text")).join(_bounded(keys, 64), "key", "left_semi")
+    split, split_uri = store.write_table(texts.groupBy("key").agg(F.first("text").alias("text")).select("key", words(F.col("text")).alias("w")), "index-texts")
+    places = candidates.groupBy("key").agg(F.collect_list(F.struct("start", "n", "window")).alias("places"))
+    there = lambda p: F.unhex(F.md5(F.array_join(F.slice("w", p["start"] + 1, p["n"]), " "))) == p["window"]
+    hits, _ = store.write_table(split.join(places, "key").select("key", F.filter("places", there).alias("hits")).filter("size(hits) > 0"), "index-hits")
+    store.drop(spark, keys_uri, split_uri)
+    return hits
+
+
+def _covered(hits: Column) -> Column:
+    """Number of words inside the spans of ``hits``."""
+    spans = F.array_sort(F.transform(hits, lambda h: F.struct(h["start"].cast("bigint").alias("start"), (h["start"] + h["n"]).cast("bigint").alias("end"))))
+    none = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("end"))
+    more = lambda a, s: F.struct((a["n"] + F.greatest(F.lit(0), s["end"] - F.greatest(s["start"], a["end"]))).cast("bigint").alias("n"), F.greatest(a["end"], s["end"]).alias("end"))
+    return F.aggregate(spans, none, more, lambda a: a["n"])
+
+
+def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, keep: tuple[str, ...] = (), index: PositionalIndex | None = None) -> DataFrame:
     """One row for each row of ``docs``: ``id_col``, the columns ``keep``, ``n_words``, ``n_hit`` (words inside occurrences of
-    item windows) and ``items`` (sorted ids, as strings, of items with occurring windows)."""
-    cut, cut_uri = store.write_table(item_windows(items, item_id_col, item_text_col, window), "item-windows")
-    owners, owners_uri = store.write_table(cut.groupBy("win").agg(F.array_sort(F.collect_set("item")).alias("owners")), "item-owners")
-    index = build_index(docs, cut.select(F.explode("win").alias("word")), id_col, text_col)
-    found = phrase_candidates(index, owners.select("win")).join(_bounded(owners), "win")
-    by_row = found.groupBy("key").agg(F.collect_list(F.struct("start", "win", "owners")).alias("places"))
-    places, _ = store.write_table(by_row, "index-places")
-    store.drop(docs.sparkSession, *index.uris, cut_uri, owners_uri)
-
-    source = docs.select(F.col(id_col), *(F.col(c) for c in keep), F.col(text_col).alias("__text"), row_key(F.col(id_col), F.col(text_col)).alias("__key"))
-    joined = source.join(_bounded(places.select(F.col("key").alias("__key"), F.col("places").alias("__places"))), "__key", "left")
-    w = F.when(F.col("__places").isNotNull(), words(F.col("__text")))
-    exact = joined.select(id_col, *keep, "__text", "__places", w.alias("__w")).withColumn("__hits", F.filter("__places", lambda p: F.slice(F.col("__w"), p["start"] + 1, F.size(p["win"])) == p["win"]))
-    inside = F.array_distinct(F.flatten(F.transform("__hits", lambda h: F.sequence(h["start"], h["start"] + F.size(h["win"]) - 1))))
-    ids = F.array_sort(F.array_distinct(F.flatten(F.transform("__hits", lambda h: h["owners"]))))
-    return exact.select(
+    item windows) and ``items`` (sorted ids, as strings, of items with occurring windows).
+
+    ``index`` is one that ``build_index`` made of the same ``docs``; without it one is made and deleted."""
+    spark = docs.sparkSession
+    digest = F.unhex(F.md5(F.array_join("win", " ")))
+    cut, cut_uri = store.write_table(item_windows(items, item_id_col, item_text_col, window).withColumn("window", digest), "item-windows")
+    of = index or build_index(docs, id_col, text_col)
+    candidates = phrase_candidates(of, cut.select("window", "win").dropDuplicates(["window"]))
+    if index is None:
+        store.drop(spark, of.uri)
+    hits = phrase_matches(candidates, docs, id_col, text_col)
+    owned = hits.select("key", F.explode(F.array_distinct(F.transform("hits", lambda h: h["window"]))).alias("window")).join(cut.select("window", "item"), "window")
+    owned = owned.groupBy("key").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    found, _ = store.write_table(hits.select("key", _covered(F.col("hits")).alias("n_hit")).join(owned, "key"), "index-found")
+    store.drop(spark, cut_uri)
+
+    count = F.coalesce(F.regexp_count(F.col(text_col), F.lit(_WORD_ANY_CASE)), F.lit(0)).cast("bigint")
+    source = docs.select(F.col(id_col), *(F.col(c) for c in keep), count.alias("__n_words"), row_key(F.col(id_col), F.col(text_col)).alias("__key"))
+    found = _bounded(found.select(F.col("key").alias("__key"), F.col("n_hit").alias("__n_hit"), F.col("items").alias("__items")), 64 + F.expr("aggregate(__items, 0, (n, i) -> n + 16 + length(i))"))
+    return source.join(found, "__key", "left").select(
         id_col,
         *keep,
-        F.coalesce(F.regexp_count("__text", F.lit(_WORD_ANY_CASE)), F.lit(0)).cast("bigint").alias("n_words"),
-        F.when(inside.isNull(), 0).otherwise(F.size(inside)).cast("bigint").alias("n_hit"),
-        F.coalesce(ids, F.array().cast("array<string>")).alias("items"),
+        F.col("__n_words").alias("n_words"),
+        F.coalesce("__n_hit", F.lit(0)).cast("bigint").alias("n_hit"),
+        F.coalesce("__items", F.array().cast("array<string>")).alias("items"),
     )
 
 
-def proximity_matches(docs: DataFrame, phrases: DataFrame, span: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def proximity_matches(docs: DataFrame, phrases: DataFrame, span: int, id_col: str = "doc_id", text_col: str = "text", index: PositionalIndex | None = None) -> DataFrame:
     """Rows in which every distinct word of a phrase stands within ``span`` consecutive words.
 
     ``phrases`` has ``phrase`` (id) and ``text``; returns ``id_col``, ``phrase``, ``n_spans`` (places at
@@ -133,11 +161,11 @@ def proximity_matches(docs: DataFrame, phrases: DataFrame, span: int, id_col: st
     """
     cut = phrases.select("phrase", F.array_distinct(F.filter(words(F.col("text")), lambda x: x != "")).alias("w")).filter(F.size("w") > 0)
     cut, _ = store.write_table(cut, "proximity-phrases")
-    index = build_index(docs, cut.select(F.explode("w").alias("word")), id_col, text_col)
-    spelled = cut.select("phrase", F.size("w").alias("n"), F.explode("w").alias("word")).join(index.terms, "word")
+    index = index or build_index(docs, id_col, text_col)
+    spelled, _ = store.write_table(_with_frequency(index, cut.select("phrase", F.size("w").alias("n"), F.explode("w").alias("word"))), "proximity-words")
     first = spelled.withColumn("nth", F.row_number().over(Window.partitionBy("phrase").orderBy("df", "word"))).filter("nth = 1 AND df > 0")
-    rows = index.postings.join(_bounded(store.write_table(first.select("term", "phrase"), "proximity-first")[0]), "term").select("key", "phrase").distinct()
-    near = index.postings.join(_bounded(store.write_table(spelled.select("term", "phrase", "n"), "proximity-terms")[0]), "term").join(rows, ["key", "phrase"])
+    rows = index.postings.join(_bounded(store.write_table(first.select("term", "phrase"), "proximity-first")[0], 128), "term").select("key", "phrase").distinct()
+    near = index.postings.join(_bounded(spelled.select("term", "phrase", "n"), 128), "term").join(rows, ["key", "phrase"])
     ahead = Window.partitionBy("key", "phrase").orderBy("pos").rangeBetween(0, span - 1)
     spans = near.withColumn("held", F.size(F.collect_set("term").over(ahead))).filter("held = n").groupBy("key", "phrase").agg(F.count_distinct("pos").alias("n_spans"))
     keys = docs.select(F.col(id_col), row_key(F.col(id_col), F.col(text_col)).alias("key"))
