@@ -32,6 +32,8 @@ from . import store
 #: Payloads are padded to a positive multiple of this; an image has as many rows.
 UNIT = 64
 PNG_MAGIC = b"\x89PNG\r\n\x1a\n"
+#: Media bytes that a reading task gets, about; fewer while that leaves tasks of this many rows idle.
+READ_BYTES, READ_ROWS = 64 << 20, 256
 #: Bytes that hold an image's signature and header chunk.
 HEADER_BYTES = 33
 
@@ -81,6 +83,7 @@ def write_shards(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
     A retried task writes the same bytes under its own temporary name; the rename is the commit.
     """
     spark = docs.sparkSession
+    store.bounded_batches(spark)
     id_type = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {id_type}, n_bytes bigint, digest string, shard string, offset bigint, length bigint"
 
@@ -122,7 +125,15 @@ def write_shards(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
             filesystem.move(temporary, f"{base}/{name}")
 
     rows, _ = store.write_table(docs.select(F.col(id_col), F.col(text_col)).mapInArrow(pack, schema), "media-rows")
-    return rows
+    return _spread(rows)
+
+
+def _spread(rows: DataFrame) -> DataFrame:
+    """Written ``rows`` dealt out by the bytes they refer to, in ranges of places: reads follow the media,
+    not the small table of addresses."""
+    total, n = rows.agg(F.sum("length"), F.count(F.lit(1))).first()
+    few = min(store.default_parallelism(rows.sparkSession), n // READ_ROWS + 1)
+    return rows.repartitionByRange(max(-(-(total or 0) // READ_BYTES), few), "shard", "offset").sortWithinPartitions("shard", "offset")
 
 
 def _ranges(batch: pa.RecordBatch, folder: str, most: int | None) -> Iterator[tuple[tuple, bytes | None]]:
