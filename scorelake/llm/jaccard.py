@@ -4,7 +4,8 @@ A document's set holds its distinct word shingles, ordered rare first.  Document
 least ``m`` tokens of their ``m``-prefixes (the first ``n - ceil(t n) + m`` tokens), for every ``m``.  Each document
 chooses its ``m``: it lengthens its prefix where its tokens' estimated frequencies promise many
 candidates, and a pair must share as many prefix tokens as the smaller choice of the two before it
-is verified.  Frequencies only order tokens and price prefixes, so estimates can't lose a link.
+is verified.  Frequencies, counted over all distinct sets, only order tokens and price prefixes, so
+rounding them can't lose a link.
 
 Equal sets form a class and are joined once.  Within a class graph only connectivity is asked for,
 so no group is expanded into all its pairs: in each round the documents of a prefix token are
@@ -20,9 +21,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,8 +35,12 @@ from . import components, store, textbuf
 SHINGLE, PERCENT = 4, 85
 #: Longest multi-match a document may choose, and what verifying a candidate costs in prefix tokens.
 MOST_MATCHES, VERIFY_COST = 4, 8
-#: Shingles whose frequency is estimated: in a task's summary, of it what is reported, and over all tasks.
-SUMMARY, REPORTED, HEAVY = 1 << 16, 1 << 12, 1 << 17
+#: Tokens of a counting bucket, about, and of a task's block of them.
+BUCKET_TOKENS, BLOCK_TOKENS = 1 << 21, 1 << 20
+#: Cells of the table of frequency levels (a byte each, broadcast): as powers of two, least and most, and
+#: how many cells a token in it has.  Tokens of at least 2 ** LEAST_LEVEL sets get into it; if the cells
+#: don't do for them, those of the highest levels.
+LEAST_CELLS, MOST_CELLS, SPARSE, LEAST_LEVEL = 16, 25, 8, 2
 #: Rows of a frequent token that share a salt.
 SALTED = 4096
 #: Hub rounds at most before all remaining pairs are listed; listed earlier if the prefix tokens' pairs
@@ -50,19 +57,21 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
 
 
-def shingle_sets(offsets: np.ndarray, raw: np.ndarray, size: int = SHINGLE) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of each row."""
+def shingle_sets(offsets: np.ndarray, raw: np.ndarray, size: int = SHINGLE) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Distinct shingles of each row: their 64-bit tokens, sorted, and a second hash of each."""
     starts, ends, first = textbuf.words(offsets, raw)
-    h = textbuf.word_hashes(_LOWER[raw], starts, ends)
-    full = textbuf.window_hashes(h, size)
+    lowered = _LOWER[raw]
+    h = [textbuf.word_hashes(lowered, starts, ends, which) for which in (0, 1)]
+    full = [textbuf.window_hashes(h[which], size, which) for which in (0, 1)]
     out = []
     for a, b in zip(first[:-1], first[1:], strict=True):
         if b - a >= size:
-            out.append(np.unique(full[a : b - size + 1]))
+            tokens, where = np.unique(full[0][a : b - size + 1], return_index=True)
+            out.append((tokens, full[1][a + where]))
         elif b > a:  # the whole sequence; its length keeps it apart from longer ones
-            out.append(textbuf.mix(textbuf.window_hashes(h[a:b], int(b - a)) + np.uint64(b - a)))
+            out.append(tuple(textbuf.mix(textbuf.window_hashes(h[which][a:b], int(b - a), which) + np.uint64(b - a)) for which in (0, 1)))
         else:
-            out.append(np.empty(0, dtype=np.uint64))
+            out.append((np.empty(0, dtype=np.uint64),) * 2)
     return out
 
 
@@ -83,12 +92,15 @@ def choose_prefix(counts: np.ndarray, n: int, percent: int) -> tuple[int, int]:
     return best[1], base + best[1]
 
 
-def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
-    """Whether 100 * intersection >= percent * union, for sorted distinct arrays."""
-    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)) or not len(x):
+def similar(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray], percent: int) -> bool:
+    """Whether 100 * intersection >= percent * union, for two sets of shingles; equal are those of which
+    both hashes are."""
+    n, k = len(x[0]), len(y[0])
+    if 100 * min(n, k) < percent * max(n, k) or not n:
         return False
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return 100 * both >= percent * (len(x) + len(y) - both)
+    _, at, to = np.intersect1d(x[0], y[0], assume_unique=True, return_indices=True)
+    both = int((x[1][at] == y[1][to]).sum())
+    return 100 * both >= percent * (n + k - both)
 
 
 def text_key(id_: Column, text: Column) -> tuple[Column, Column]:
@@ -100,37 +112,122 @@ def _bounded(keys: DataFrame) -> DataFrame:
 
 
 def _profile(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """One row a document (set size and digest) and each task's frequent shingles."""
+    """One row a document: set size and digest."""
     id_type = docs.schema[id_col].dataType.simpleString()
-    names = [id_col, "digest", "row", "n", "set", "shingle", "df"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
         for batch in batches:
             for a, b, offsets, raw in textbuf.slices(batch.column(3)):
                 sets = shingle_sets(offsets, raw, size)
-                seen, times = np.unique(np.concatenate([*sets, np.empty(0, dtype=np.uint64)]), return_counts=True)
-                merged, place = np.unique(np.concatenate([keys, seen[times > 1]]), return_inverse=True)
-                keys, counts = merged, np.bincount(place, np.concatenate([counts, times[times > 1]]), minlength=len(merged)).astype(np.int64)
-                if len(keys) > SUMMARY:
-                    top = np.sort(np.argsort(-counts, kind="stable")[: SUMMARY // 2])
-                    keys, counts = keys[top], counts[top]
-                digests = [_set_digest(s) for s in sets]
-                nulls = pa.nulls(b - a, pa.int64())
-                yield pa.RecordBatch.from_arrays([*(batch.column(i)[a:b] for i in range(3)), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.string()), nulls, nulls], names)
-        top = np.argsort(-counts, kind="stable")[:REPORTED]
-        k = len(top)
-        yield pa.RecordBatch.from_arrays([pa.nulls(k, out_type), *(pa.nulls(k, pa.string()),) * 2, pa.nulls(k, pa.int64()), pa.nulls(k, pa.string()), pa.array(keys[top].view(np.int64), pa.int64()), pa.array(counts[top], pa.int64())], names)
-
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    out_type = to_arrow_type(docs.schema[id_col].dataType)
+                yield pa.RecordBatch.from_arrays([*(batch.column(i)[a:b] for i in range(3)), pa.array([len(s[0]) for s in sets], pa.int64()), pa.array([_set_digest(s) for s in sets], pa.string())], [id_col, "digest", "row", "n", "set"])
+
     digest, row = text_key(F.col(id_col), F.col(text_col))
-    return docs.select(F.col(id_col), digest, row, F.col(text_col)).mapInArrow(run, f"`{id_col}` {id_type}, digest string, row string, n bigint, set string, shingle bigint, df bigint")
+    return docs.select(F.col(id_col), digest, row, F.col(text_col)).mapInArrow(run, f"`{id_col}` {id_type}, digest string, row string, n bigint, set string")
+
+
+def _set_digest(tokens: tuple[np.ndarray, np.ndarray]) -> str:
+    return hashlib.md5(tokens[0].tobytes() + tokens[1].tobytes()).hexdigest()
+
+
+@dataclass(frozen=True)
+class Levels:
+    """Binary orders of magnitude of tokens' frequencies, in cells that tokens are hashed to.
+
+    A rare token may share a cell with a frequent one; the order of tokens stays the same for all sets.
+    """
+
+    cells: np.ndarray
+    kept_bits: int
+
+    def counts(self, tokens: np.ndarray) -> np.ndarray:
+        return np.int64(1) << self.cells[_cell(tokens >> np.uint64(64 - self.kept_bits), len(self.cells))].astype(np.int64)
+
+
+def _cell(kept: np.ndarray, cells: int) -> np.ndarray:
+    return (textbuf.mix(kept) & np.uint64(cells - 1)).astype(np.int64)
 
 
-def _set_digest(tokens: np.ndarray) -> str:
-    return hashlib.md5(tokens.tobytes()).hexdigest()
+def _summed(low: list[np.ndarray], times: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    keys, place = np.unique(np.concatenate([*low, np.empty(0, dtype=low[0].dtype)]), return_inverse=True)
+    return keys, np.bincount(place, np.concatenate(times), minlength=len(keys)).astype(np.int64)
+
+
+def count_levels(texts: DataFrame, tokens: int, size: int) -> Levels:
+    """Frequency levels over the sets of ``texts`` (column text), which hold about ``tokens`` tokens.
+
+    Every token is counted.  Tasks sum blocks of tokens and deal them out to buckets by the first bits,
+    with the 32 bits that follow; a bucket is counted in one task and has about ``BUCKET_TOKENS`` tokens.
+    The driver gets no more than what fills the table.
+    """
+    spark = texts.sparkSession
+    parts = store.default_parallelism(spark)
+    bits = min(32, max((tokens // BUCKET_TOKENS).bit_length() + 1, (4 * parts).bit_length()))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def block(held: list[np.ndarray]) -> pa.RecordBatch:
+            every, k = np.unique(np.concatenate(held), return_counts=True)
+            bucket = (every >> np.uint64(64 - bits)).astype(np.int64)
+            low = (every >> np.uint64(32 - bits)).astype(np.uint32)
+            edges = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+            out: list[list] = [[], [], []]
+            for a, b in zip(edges, np.append(edges[1:], len(every)), strict=True):
+                often = k[a:b] > 1
+                for column, x in zip(out, (low[a:b][~often], low[a:b][often], k[a:b][often].astype(np.uint32)), strict=True):
+                    column.append(x.tobytes())
+            return pa.RecordBatch.from_arrays([pa.array(bucket[edges]), *(pa.array(x, pa.binary()) for x in out)], ["bucket", "once", "more", "times"])
+
+        held, n = [], 0
+        for batch in batches:
+            for _, _, offsets, raw in textbuf.slices(batch.column(0)):
+                held += (own := [s[0] for s in shingle_sets(offsets, raw, size)])
+                n += sum(map(len, own))
+                if n >= BLOCK_TOKENS:
+                    yield block(held)
+                    held, n = [], 0
+        if n:
+            yield block(held)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def counted(bucket: int, low: np.ndarray, k: np.ndarray) -> pa.RecordBatch:
+            often = k >= 1 << LEAST_LEVEL
+            kept = np.uint64(bucket) << np.uint64(32) | low[often].astype(np.uint64)
+            return pa.RecordBatch.from_arrays([pa.array(kept.view(np.int64)), pa.array(np.log2(k[often]).astype(np.int8))], ["kept", "level"])
+
+        last, low, times = None, [], []
+        for batch in batches:
+            for bucket, *blobs in zip(batch.column(0).to_pylist(), *(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                once, more, k = (np.frombuffer(x, np.uint32) for x in blobs)
+                if bucket != last and low:
+                    yield counted(last, *_summed(low, times))
+                    low, times = [], []
+                last = bucket
+                low += [once, more]
+                times += [np.ones(len(once), dtype=np.int64), k.astype(np.int64)]
+                if sum(map(len, low)) > 4 * BUCKET_TOKENS and len(low) > 2:  # a hot bucket's blocks are summed as they come
+                    low, times = ([x] for x in _summed(low, times))
+        if low:
+            yield counted(last, *_summed(low, times))
+
+    dealt = texts.mapInArrow(deal, "bucket bigint, once binary, more binary, times binary").repartition(parts, "bucket").sortWithinPartitions("bucket")
+    often, uri = store.write_table(dealt.mapInArrow(count, "kept bigint, level tinyint"), "jaccard-levels")
+    room, least, need = (1 << MOST_CELLS) // SPARSE, LEAST_LEVEL, 0
+    for level, k in sorted(((r.level, r.k) for r in often.groupBy("level").agg(F.count(F.lit(1)).alias("k")).collect()), reverse=True):
+        if need + k > room:
+            least = level + 1
+            break
+        need += k
+    table = np.zeros(1 << min(MOST_CELLS, max(LEAST_CELLS, (SPARSE * need).bit_length())), dtype=np.int8)
+    size_of = len(table)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cell = _cell(batch.column(0).to_numpy().view(np.uint64), size_of).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (cell, batch.column(1).to_numpy())], ["cells", "levels"])
+
+    for r in often.filter(F.col("level") >= least).mapInArrow(pack, "cells binary, levels binary").collect():
+        np.maximum.at(table, np.frombuffer(r.cells, np.int32), np.frombuffer(r.levels, np.int8))
+    store.drop(spark, uri)
+    return Levels(table, 32 + bits)
 
 
 def _node(digest: str, moved: dict[str, int]) -> int:
@@ -138,34 +235,36 @@ def _node(digest: str, moved: dict[str, int]) -> int:
     return moved.get(digest) if digest in moved else int(digest[:15], 16)
 
 
-def _prefixes(texts: DataFrame, heavy: tuple[np.ndarray, np.ndarray], moved: dict[str, int], size: int, percent: int) -> DataFrame:
+def _prefixes(texts: DataFrame, sent: Broadcast[Levels], moved: dict[str, int], size: int, percent: int) -> DataFrame:
     """Prefix tokens of ``texts`` (column text): token, salt, node, n, most (matches chosen), place (in
-    the document's order; the prefix for m matches ends at ``n - least overlap + m``)."""
-    sent = texts.sparkSession.sparkContext.broadcast(heavy)
+    the document's order; the prefix for m matches ends at ``n - least overlap + m``), even and odd (parities
+    of the numbers of the set's tokens that fall to each of 2 * 64 bits)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, frequency = sent.value
+        levels = sent.value
         for batch in batches:
             for _, _, offsets, raw in textbuf.slices(batch.column(0)):
-                out: list[list[np.ndarray]] = [[], [], [], [], [], []]
-                for tokens in shingle_sets(offsets, raw, size):
+                out: list[list[np.ndarray]] = [[] for _ in range(8)]
+                for both in shingle_sets(offsets, raw, size):
+                    tokens = both[0]
                     n = len(tokens)
                     if not n:
                         continue
-                    node = _node(_set_digest(tokens), moved)
-                    place = np.minimum(np.searchsorted(known, tokens), max(len(known) - 1, 0))
-                    counts = np.where(known[place] == tokens, frequency[place], 1) if len(known) else np.ones(n, dtype=np.int64)
+                    node = _node(_set_digest(both), moved)
+                    counts = levels.counts(tokens)
                     order = np.argsort(counts, kind="stable")  # tokens are sorted: ties go by hash
                     m, length = choose_prefix(counts[order], n, percent)
                     chosen = order[:length]
+                    bits, half = np.uint64(1) << (both[1] >> np.uint64(1) & np.uint64(63)), both[1] & np.uint64(1) == 1
+                    even, odd = (np.bitwise_xor.reduce(bits[own], initial=np.uint64(0)).view(np.int64) for own in (~half, half))
                     salts = counts[chosen] // SALTED + 1
-                    for column, value in zip(out, (tokens[chosen].view(np.int64), (np.uint64(node & 0x7FFFFFFF) % salts.astype(np.uint64)).astype(np.int32) + (salts > 1), np.full(length, node), np.full(length, n, dtype=np.int32), np.full(length, m, dtype=np.int8), np.arange(length, dtype=np.int32)), strict=True):
+                    for column, value in zip(out, (tokens[chosen].view(np.int64), (np.uint64(node & 0x7FFFFFFF) % salts.astype(np.uint64)).astype(np.int32) + (salts > 1), np.full(length, node), np.full(length, n, dtype=np.int32), np.full(length, m, dtype=np.int8), np.arange(length, dtype=np.int32), np.full(length, even), np.full(length, odd)), strict=True):
                         column.append(value)
                 if out[0]:
-                    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int8(), pa.int32())
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), k) for c, k in zip(out, kinds, strict=True)], ["token", "salt", "node", "n", "most", "place"])
+                    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int8(), pa.int32(), pa.int64(), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), k) for c, k in zip(out, kinds, strict=True)], ["token", "salt", "node", "n", "most", "place", "even", "odd"])
 
-    return texts.mapInArrow(run, "token bigint, salt int, node bigint, n int, most tinyint, place int")
+    return texts.mapInArrow(run, "token bigint, salt int, node bigint, n int, most tinyint, place int, even bigint, odd bigint")
 
 
 def _shared_only(prefixes: DataFrame) -> DataFrame:
@@ -215,12 +314,13 @@ def _matching(percent: int) -> Column:
     """Condition on a shared token's row of both documents.
 
     Both are in the prefixes for m matches, and the first m shared tokens of similar documents
-    leave room for the overlap that the two sizes need: at most m - 1 before and what follows.
+    leave room for the overlap that the two sizes need: at most m - 1 before and what follows.  Tokens
+    that only one of them has are no fewer than the bits in which their parities differ.
     """
     m = "least(a_most, b_most)"
     prefixes = " AND ".join(f"{s}_place < {s}_n - ceil({percent} * {s}_n / 100) + {m}" for s in "ab")
     needed = f"ceil({percent} * (a_n + b_n) / {100 + percent})"
-    return F.expr(f"{prefixes} AND {m} - 1 + least(a_n - a_place, b_n - b_place) >= {needed}")
+    return F.expr(f"{prefixes} AND least({m} - 1, a_place, b_place) + least(a_n - a_place, b_n - b_place) >= {needed} AND bit_count(a_even ^ b_even) + bit_count(a_odd ^ b_odd) <= a_n + b_n - 2 * {needed}")
 
 
 def _counted(rows: DataFrame) -> DataFrame:
@@ -229,7 +329,7 @@ def _counted(rows: DataFrame) -> DataFrame:
 
 
 def _side(rows: DataFrame, name: str) -> DataFrame:
-    return rows.select("token", *(F.col(c).alias(name if c == "node" else f"{name}_{c}") for c in ("node", "n", "most", "place", "comp")))
+    return rows.select("token", *(F.col(c).alias(name if c == "node" else f"{name}_{c}") for c in ("node", "n", "most", "place", "even", "odd", "comp")))
 
 
 def _links(prefixes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -254,9 +354,9 @@ def _links(prefixes: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
             same = (F.col("token") == F.col("other")) & (F.col("a") < F.col("b")) & (F.col("a_comp") != F.col("b_comp")) & matching
             pairs = _counted(_side(rows, "a").join(two, same)).filter("shared >= m").select("a", "b")
         else:
-            # about HUBS documents of each token, the same ones in all of their tokens
-            draw = F.pmod(F.xxhash64("node", F.lit(number)), F.lit(1 << 30)) / (1 << 30)
-            hubs = rows.join(open_.select("token", "all"), "token").filter(draw * F.col("all") < HUBS)
+            # the documents of each token with the fewest rarer ones, which is what a group has in common
+            central = Window.partitionBy("token").orderBy("place", F.xxhash64("node", F.lit(number)))
+            hubs = rows.withColumn("nth", F.row_number().over(central)).filter(F.col("nth") <= HUBS)
             hubs = _side(hubs, "a").withColumnRenamed("token", "other")
             same = (F.col("token") == F.col("other")) & (F.col("a_comp") != F.col("b_comp")) & matching
             pairs = _counted(_side(rows, "b").join(hubs, same)).filter("a <> b")
@@ -282,17 +382,14 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     its component's smallest id, nulls last, and of that id's texts in it the one of the smallest
     digest.  Only equal rows are first together; a row without words always is."""
     spark = docs.sparkSession
-    profile, _ = store.write_table(_profile(docs, id_col, text_col, size), "jaccard-profile")
-    rows = profile.filter("set IS NOT NULL").drop("shingle", "df")
-    heavy = profile.filter("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("df").alias("df")).orderBy(F.desc("df"), "shingle").limit(HEAVY).toPandas()
-    keys, counts = heavy["shingle"].to_numpy(np.int64).view(np.uint64), heavy["df"].to_numpy(np.int64)
-    order = np.argsort(keys)
+    store.bounded_batches(spark)
+    rows, rows_uri = store.write_table(_profile(docs, id_col, text_col, size), "jaccard-profile")
 
     # a class for each distinct set: its 64-bit node, and the row whose text stands for it
-    classes = rows.filter("n > 0").groupBy("set").agg(F.min(id_col).alias("least"), F.min(F.struct("digest", "row")).alias("owner"), *([F.min(F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), "digest")).alias("first")] if mark_first else []))
+    classes = rows.filter("n > 0").groupBy("set").agg(F.min(id_col).alias("least"), F.max("n").alias("n"), F.min(F.struct("digest", "row")).alias("owner"), *([F.min(F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), "digest")).alias("first")] if mark_first else []))
     firsts = ["first"] if mark_first else []
     node = F.conv(F.substring("set", 1, 15), 16, 10).cast("bigint")
-    classes, _ = store.write_table(classes.select(node.alias("node"), "set", "least", "owner.digest", "owner.row", *firsts), "jaccard-classes")
+    classes, classes_uri = store.write_table(classes.select(node.alias("node"), "set", "least", "owner.digest", "owner.row", "n", *firsts), "jaccard-classes")
     clashes = classes.groupBy("node").agg(F.collect_list("set").alias("sets"), F.count(F.lit(1)).alias("k")).filter("k > 1").limit(MOST_CLASHES).collect()
     if len(clashes) == MOST_CLASHES:
         raise ValueError("too many sets for 60-bit names")
@@ -303,15 +400,18 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     digest, row = text_key(F.col(id_col), F.col(text_col))
     source = docs.select(digest, row, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    idle, _ = store.write_table(rows.join(classes.select("digest", "row"), ["digest", "row"], "left_anti").select("digest", "row").distinct(), "jaccard-idle")
+    idle, idle_uri = store.write_table(rows.join(classes.select("digest", "row"), ["digest", "row"], "left_anti").select("digest", "row").distinct(), "jaccard-idle")
     owners = source.join(_bounded(idle), ["digest", "row"], "left_anti").select("text")
-    shared = _shared_only(_prefixes(owners, (keys[order], counts[order]), moved, size, percent))
+    tokens = classes.agg(F.sum("n")).first()[0] or 0
+    sent = spark.sparkContext.broadcast(count_levels(owners, tokens, size))
+    shared = _shared_only(_prefixes(owners, sent, moved, size, percent))
     prefixes, prefixes_uri = store.write_table(shared.dropDuplicates(["token", "node"]), "jaccard-prefixes")
+    sent.destroy()
 
-    wanted, _ = store.write_table(classes.join(prefixes.select("node").distinct(), "node", "left_semi").select("node", "digest", "row"), "jaccard-wanted")
+    wanted, wanted_uri = store.write_table(classes.join(prefixes.select("node").distinct(), "node", "left_semi").select("node", "digest", "row"), "jaccard-wanted")
     texts, texts_uri = store.write_table(source.join(_bounded(wanted), ["digest", "row"]).select("node", "text").dropDuplicates(["node"]), "jaccard-texts")
     labels = _links(prefixes, texts, size, percent)
-    store.drop(spark, prefixes_uri, texts_uri)
+    store.drop(spark, prefixes_uri, texts_uri, idle_uri, wanted_uri)
 
     named = classes.select("node", "set", "least", *firsts).join(labels, "node")
     named, _ = store.write_table(named.select("set", "comp", "least", *firsts), "jaccard-named")
