@@ -69,11 +69,11 @@ def canonical_text_fp(t: Tables) -> DataFrame:
 # metrics of a predicted against a gold table
 
 _GOLD = "SELECT doc_id, quality, toxic FROM labels"
-_PRED = "SELECT doc_id, CASE WHEN n_chars > 400 THEN 1 ELSE 0 END AS quality, CASE WHEN lang = 'en' THEN 1 ELSE 0 END AS toxic FROM documents WHERE doc_id % 3 <> 0"
+_PRED = "SELECT doc_id, CASE WHEN n_chars > 400 THEN 1 ELSE 0 END AS quality, CASE WHEN lang = 'en' THEN 1 ELSE 0 END AS toxic FROM documents"
 
 
 def _pred(t: Tables) -> DataFrame:
-    return t.documents.filter("doc_id % 3 <> 0").select("doc_id", F.when(F.col("n_chars") > 400, 1).otherwise(0).alias("quality"), F.when(F.col("lang") == "en", 1).otherwise(0).alias("toxic"))
+    return t.documents.select("doc_id", F.when(F.col("n_chars") > 400, 1).otherwise(0).alias("quality"), F.when(F.col("lang") == "en", 1).otherwise(0).alias("toxic"))
 
 
 @query(f"WITH g AS ({_GOLD}), p AS ({_PRED}), c AS (SELECT (SELECT count(*) FROM g) AS gold_n, (SELECT count(*) FROM p) AS pred_n, (SELECT count(*) FROM g JOIN p USING (doc_id)) AS both_n) SELECT gold_n, pred_n, both_n, round(both_n / gold_n, 6) AS pk_recall, round(both_n / pred_n, 6) AS pk_precision FROM c")
@@ -144,15 +144,8 @@ def vote_plurality(t: Tables) -> DataFrame:
     return vote.plurality(t.conversations, ["conv_id"], "role", "turn")
 
 
-@query("SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text || ' {name} {other} {name}', '\\{([^}]+)\\}', 1))), ',') AS vars FROM documents WHERE doc_id < 50")
-def template_placeholders(t: Tables) -> DataFrame:
-    asked = F.concat(F.col("text"), F.lit(" {name} {other} {name}"))
-    return t.documents.filter("doc_id < 50").select("doc_id", F.array_join(F.array_sort(text.placeholders(asked)), ",").alias("vars"))
-
-
 @query("SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text || ' {name} {other} {name}', '\\{([^}]+)\\}', 1))), ',') AS vars FROM documents")
-def template_placeholders_all(t: Tables) -> DataFrame:
-    """``template_placeholders`` over all documents."""
+def template_placeholders(t: Tables) -> DataFrame:
     asked = F.concat(F.col("text"), F.lit(" {name} {other} {name}"))
     return t.documents.select("doc_id", F.array_join(F.array_sort(text.placeholders(asked)), ",").alias("vars"))
 
@@ -194,9 +187,9 @@ def sessions_top5(t: Tables) -> DataFrame:
     return sessions.top(sessions.by_product(_signed(t)), "revenue", 5).select("product_id", "revenue", F.col("rank").cast("bigint").alias("rank"))
 
 
-@query(f"SELECT coalesce(p_type, 'Other') AS category, round(sum(qty * price), 2) AS revenue FROM {_SQL_SIGNED} LEFT JOIN (SELECT p_partkey, p_type FROM part WHERE p_partkey < 15) ON product_id = p_partkey GROUP BY 1 HAVING sum(qty * price) > 1e-9")
+@query(f"SELECT coalesce(p_type, 'Other') AS category, round(sum(qty * price), 2) AS revenue FROM {_SQL_SIGNED} LEFT JOIN (SELECT p_partkey + 5 AS product, p_type FROM part) ON product_id = product GROUP BY 1 HAVING sum(qty * price) > 1e-9")
 def sessions_category(t: Tables) -> DataFrame:
-    catalog = t.part.filter("p_partkey < 15").select(F.col("p_partkey").alias("product_id"), F.col("p_type").alias("category"))
+    catalog = t.part.select((F.col("p_partkey") + 5).alias("product_id"), F.col("p_type").alias("category"))
     return sessions.by_category(_signed(t), catalog).filter("revenue > 1e-9").select("category", "revenue")
 
 

@@ -45,9 +45,9 @@ def test_plans_push_filters_and_columns(spark):
 
 
 def test_placeholders_of_all_documents(spark):
-    ids = {r["doc_id"] for r in catalog.queries()["template_placeholders_all"](spark, SF).collect()}
+    ids = {r["doc_id"] for r in catalog.queries()["template_placeholders"](spark, SF).collect()}
     assert ids == {r["doc_id"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").collect()} and max(ids) >= 50
 
 
 def test_casts_of_all_lineitems(spark):
-    assert catalog.queries()["cast_rounds_half_even_all"](spark, SF).count() == spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    assert catalog.queries()["cast_rounds_half_even"](spark, SF).count() == spark.read.parquet(f"{SF}/lineitem.parquet").count()
