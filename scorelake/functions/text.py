@@ -44,7 +44,7 @@ def fingerprint(canonical: Column) -> Column:
 
 def tidy_lines(text: Column) -> Column:
     """Unix newlines, no blanks at line ends, at most two empty lines in a row."""
-    c = F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), r"(?m)[ \t]+$", "")
+    c = F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), r"(?md)[ \t]+$", "")
     return F.regexp_replace(c, r"\n{4,}", "\n\n\n")
 
 
@@ -71,7 +71,7 @@ def record_key(*parts: Column | str) -> Column:
 def strip_fences(text: Column) -> Column:
     """Text inside a markdown code fence, or the text itself."""
     inner = F.regexp_extract(text, r"(?s)```(?:\w+)?\s*(.*?)```", 1)
-    return F.trim(F.when(inner != "", inner).otherwise(text))
+    return F.regexp_replace(F.when(inner != "", inner).otherwise(text), r"^\s+|\s+$", "")
 
 
 def sql_literal(value: object) -> str:

@@ -34,6 +34,12 @@ def with_row_ids(df: DataFrame, order: Sequence[str | Column], name: str = "__ro
     return marked.join(F.broadcast(shifts), "__part").withColumn(name, F.col("__nth") + F.col("__before")).drop("__part", "__nth", "__before")
 
 
+def long_group(rows: DataFrame, key: str, group: Sequence[str]) -> DataFrame:
+    """The lineage of groups, one base row a row: group columns and ``row_id``.  No group is gathered, so
+    its size doesn't matter; it joins with the groups' results on their columns."""
+    return rows.select(*group, F.col(key).alias("row_id"))
+
+
 @dataclass
 class Step:
     """One node of a traced query: its kind, what it did and the frame it left."""

@@ -40,7 +40,7 @@ def query(sql: str | None) -> Callable[[Callable[[Tables], DataFrame]], Query]:
 
 
 def queries() -> dict[str, Query]:
-    from . import evaluation, relational  # noqa: F401  they register themselves
+    from . import columns, evaluation, relational  # noqa: F401  they register themselves
 
     return dict(_QUERIES)
 
