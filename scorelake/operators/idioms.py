@@ -5,7 +5,7 @@ Every ordered operation takes a full order, so results don't depend on ties.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -148,3 +148,22 @@ def concat_ordered(df: DataFrame, keys: Sequence[str], order: str, text: Column,
     if most_chars is not None:
         joined = F.when(F.length(joined) > most_chars, F.concat(F.substring(joined, 1, most_chars), F.lit(" ..."))).otherwise(joined)
     return parts.select(*keys, joined.alias(alias))
+
+
+def asof(left: DataFrame, right: DataFrame, keys: Sequence[str], left_at: str, right_at: str, columns: dict[str, str]) -> DataFrame:
+    """``left`` with columns of the last ``right`` row of its keys at or before its time; null if there is none.
+
+    ``columns`` maps right columns to new names; right rows that tie in time go by these columns, last wins.
+    One window over both sides, so that no pair is made; rows of a key share a task."""
+    taken = F.struct(*(F.col(c).alias(n) for c, n in columns.items()))
+    a = left.withColumns({"__at": F.col(left_at), "__side": F.lit(1), "__taken": F.lit(None).cast(right.select(taken.alias("x")).schema["x"].dataType)})
+    b = right.select(*keys, F.col(right_at).alias("__at"), F.lit(0).alias("__side"), taken.alias("__taken"))
+    both = a.unionByName(b, allowMissingColumns=True)
+    before = Window.partitionBy(*_cols(keys)).orderBy("__at", "__side", "__taken").rowsBetween(Window.unboundedPreceding, 0)
+    met = both.withColumn("__last", F.last("__taken", ignorenulls=True).over(before)).filter("__side = 1")
+    return met.select(*left.columns, *(F.col(f"__last.{n}").alias(n) for n in columns.values()))
+
+
+def qualify(df: DataFrame, value: Column, condition: Callable[[Column], Column]) -> DataFrame:
+    """Rows whose window value meets a condition: QUALIFY, which the parser lacks, as a derived column."""
+    return df.withColumn("__q", value).filter(condition(F.col("__q"))).drop("__q")

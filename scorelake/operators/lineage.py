@@ -13,6 +13,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import scratch_folder
+
 #: Name of the lineage column.
 PROV = "__prov"
 
@@ -22,9 +24,11 @@ def with_row_ids(df: DataFrame, order: Sequence[str | Column], name: str = "__ro
 
     Rows are range-sorted; a row's id is its place in its partition plus the rows of earlier ones, so no
     single task numbers them all."""
-    ranked = df.sort(*order)
     place = F.monotonically_increasing_id()
-    marked = ranked.select("*", F.shiftright(place, 33).alias("__part"), place.bitwiseAND((1 << 33) - 1).alias("__nth")).persist()
+    ranked = df.sort(*order).select("*", F.shiftright(place, 33).alias("__part"), place.bitwiseAND((1 << 33) - 1).alias("__nth"))
+    folder = scratch_folder(df.sparkSession, "row-ids")
+    ranked.write.parquet(folder)  # rows that tie keep their ids whatever is lost later
+    marked = df.sparkSession.read.schema(ranked.schema).parquet(folder)
     counts = sorted((r["__part"], r["n"]) for r in marked.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).collect())
     offsets, before = [], 0
     for part, n in counts:

@@ -62,13 +62,13 @@ def read_records(spark: SparkSession, path: str, schema: str | T.StructType | No
 
 def with_record_ids(df: DataFrame, candidates: Sequence[str] = ("record_id", "id", "item_id"), order: str | None = None) -> DataFrame:
     """``record_id`` from the first column that has one, else ``r`` and the row's place in ``order``."""
-    from pyspark.sql import Window
+    from ..operators.lineage import with_row_ids
 
     there = [F.col(c).cast("string") for c in candidates if c in df.columns]
     if order is None:
         return df.withColumn("record_id", F.coalesce(*there))
-    place = F.row_number().over(Window.orderBy(order)) - 1
-    return df.withColumn("record_id", F.coalesce(*there, F.concat(F.lit("r"), place.cast("string"))))
+    placed = with_row_ids(df, [order], "__place")
+    return placed.withColumn("record_id", F.coalesce(*there, F.concat(F.lit("r"), F.col("__place").cast("string")))).drop("__place")
 
 
 def check_benchmark(df: DataFrame) -> DataFrame:

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of a result that may go into one JSON file through the driver.
+ENVELOPE_ROWS = 100_000
+
 
 def write_jsonl(df: DataFrame, path: str) -> None:
     """One JSON object a line, one file a partition; Spark's commit makes it appear whole."""
@@ -27,14 +33,7 @@ def write_shards(df: DataFrame, order: str, shards: int, path: str) -> None:
     """Contiguous shards of nearly equal row counts (at most one apart), one folder each.
 
     Places come from range-sorted partitions and their counts, not from one global window."""
-    from ..operators.lineage import with_row_ids
-
-    numbered = with_row_ids(df, [order], "__n")
-    total = numbered.count()
-    size, extra = divmod(total, shards)
-    cut = extra * (size + 1)
-    shard = F.when(F.col("__n") < cut, F.floor(F.col("__n") / (size + 1))).otherwise(extra + F.floor((F.col("__n") - cut) / max(size, 1)))
-    numbered.withColumn("shard", shard.cast("int")).drop("__n").write.mode("overwrite").partitionBy("shard").json(path)
+    chunk_numbers(df, order, shards).withColumnRenamed("chunk", "shard").write.mode("overwrite").partitionBy("shard").json(path)
 
 
 def replace_file(spark: SparkSession, path: str, text: str) -> None:
@@ -59,17 +58,34 @@ def write_manifest(spark: SparkSession, path: str, entries: Mapping[str, object]
 
 
 def write_envelope(df: DataFrame, path: str, envelope: Mapping[str, object] | None = None, key: str = "final") -> None:
-    """A result for people: one JSON file, the records inside the caller's envelope.  For small tables."""
-    rows = [json.loads(x) for x in df.toJSON().collect()]
+    """A result for people: one JSON file, the records inside the caller's envelope.  Tables of more than
+    ``ENVELOPE_ROWS`` rows raise; they go to JSON lines."""
+    rows = [json.loads(r.value) for r in df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).limit(ENVELOPE_ROWS + 1).collect()]
+    if len(rows) > ENVELOPE_ROWS:
+        raise ValueError(f"more than {ENVELOPE_ROWS} rows for one JSON file")
     replace_file(df.sparkSession, path, json.dumps({**envelope, key: rows} if envelope is not None else rows, indent=2, ensure_ascii=False))
 
 
 def checksums(spark: SparkSession, folder: str) -> DataFrame:
-    """``name`` (below ``folder``) and ``sha256`` of every file, hashed where it is read."""
+    """``name`` (below ``folder``) and ``sha256`` of every file, hashed in a task as it is read, in blocks."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     name = F.regexp_replace("path", r"^\w+:/+", "/")
     root = folder.split(":", 1)[-1].rstrip("/")
-    return files.select(F.regexp_replace(name, f"^.*{root}/".replace("/", "/+"), "").alias("name"), F.sha2("content", 256).alias("sha256"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digests = []
+            for path in batch.column(1).to_pylist():
+                filesystem, where = fs.FileSystem.from_uri(path)
+                sha = hashlib.sha256()
+                with filesystem.open_input_stream(where, compression=None) as stream:
+                    while block := stream.read(1 << 20):
+                        sha.update(block)
+                digests.append(sha.hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.string())], ["name", "sha256"])
+
+    listed = files.select(F.regexp_replace(name, f"^.*{root}/".replace("/", "/+"), "").alias("name"), "path")
+    return listed.mapInArrow(run, "name string, sha256 string")
 
 
 def audit(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
@@ -85,5 +101,11 @@ def dimensions(df: DataFrame, rows: str = "rows", columns: str = "columns") -> D
 
 
 def chunk_numbers(df: DataFrame, order: str, chunks: int) -> DataFrame:
-    """Near-equal contiguous chunk of each row of a small table."""
-    return df.withColumn("chunk", F.ntile(chunks).over(Window.orderBy(order)) - 1)
+    """Near-equal contiguous chunk of each row: the first ones have a row more if they don't come out even."""
+    from ..operators.lineage import with_row_ids
+
+    numbered = with_row_ids(df, [order], "__n")
+    size, extra = divmod(numbered.count(), chunks)
+    cut = extra * (size + 1)
+    chunk = F.when(F.col("__n") < cut, F.floor(F.col("__n") / (size + 1))).otherwise(extra + F.floor((F.col("__n") - cut) / max(size, 1)))
+    return numbered.withColumn("chunk", chunk.cast("int")).drop("__n")
