@@ -136,3 +136,13 @@ def first_json(text: str | None, opening: str = "{") -> object | None:
         except ValueError:
             at = text.find(opening, at + 1)
     return None
+
+
+def sql_profile(sql: Column, first: str = "batsman", second: str = "bowler") -> dict[str, Column]:
+    """Profile of a statement's text: its functions, hops (nested SELECTs and JOINs), and which entity it is about."""
+    count = lambda word: F.regexp_count(sql, F.lit(rf"(?i)\b{word}\b"))
+    names = F.transform(F.regexp_extract_all(sql, F.lit(r"(?i)\b(SUM|AVG|COUNT|MIN|MAX|ROUND|ABS|COALESCE|CAST)\b"), F.lit(1)), F.upper)
+    hops = F.greatest(count("SELECT") - 1, F.lit(0)) + count("JOIN")
+    one, two = count(first) > 0, count(second) > 0
+    target = F.when(one & two, "both").when(one, first).when(two, second).otherwise("unknown")
+    return {"functions": F.array_sort(F.array_distinct(names)), "hop_count": hops, "is_multihop": hops > 0, "entity_target": target}

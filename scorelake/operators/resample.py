@@ -19,18 +19,25 @@ def _clean(values: Sequence[float]) -> np.ndarray:
     return x[~np.isnan(x)]
 
 
-def bootstrap_ci(values: Sequence[float], n: int = 10_000, alpha: float = 0.05, seed: int = 42, weights: Sequence[float] | None = None) -> tuple[float, float]:
-    """Percentile interval of the (weighted) mean; NaN for no values."""
+def _places(strata: np.ndarray) -> list[np.ndarray]:
+    """Places of each stratum, in order of its name."""
+    return [np.flatnonzero(strata == s) for s in sorted(set(strata.tolist()), key=str)]
+
+
+def bootstrap_ci(values: Sequence[float], n: int = 10_000, alpha: float = 0.05, seed: int = 42, weights: Sequence[float] | None = None, strata: Sequence[object] | None = None) -> tuple[float, float]:
+    """Percentile interval of the (weighted) mean; NaN for no values.  With ``strata`` each draw takes as many
+    values of a stratum as it has."""
     x = np.asarray(values, dtype=float)
     w = np.ones(len(x)) if weights is None else np.asarray(weights, dtype=float)
     keep = ~np.isnan(x) & ~np.isnan(w) & (w > 0)
+    groups = None if strata is None else _places(np.asarray(list(strata), dtype=object)[keep])
     x, w = x[keep], w[keep]
     if not len(x):
         return math.nan, math.nan
     rng = np.random.default_rng(seed)
     means = np.empty(n)
     for i in range(n):
-        at = rng.choice(len(x), size=len(x), replace=True)
+        at = rng.choice(len(x), size=len(x), replace=True) if groups is None else np.concatenate([rng.choice(g, size=len(g), replace=True) for g in groups])
         means[i] = np.average(x[at], weights=w[at])
     return float(np.percentile(means, 50 * alpha)), float(np.percentile(means, 100 - 50 * alpha))
 

@@ -6,6 +6,10 @@ old_qty and new_qty.  The same functions serve batch tables and, up to the aggre
 
 from __future__ import annotations
 
+import random
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,3 +99,54 @@ def answers(events: DataFrame, catalog: DataFrame) -> dict[str, DataFrame]:
         "Q9": by_category(log, catalog).filter(F.col("revenue") > EPS),
         "Q10": average_order(log),
     }
+
+
+EVENTS = "session_id string, time_idx int, op string, order_id string, customer_id string, product_id string, qty double, old_qty double, new_qty double, unit_price double"
+
+
+def simulate(catalog: DataFrame, sessions: int, turns: int, customers: int = 5, seed: int = 42, p_modify: float = 0.15, p_return: float = 0.1, p_adjust: float = 0.05, most_items: int = 3) -> DataFrame:
+    """Made-up event logs: a row an event, the same for the same seed, whatever the partitions.
+
+    ``catalog`` has product_id and price and must be small enough for one Python list (10,000 rows).
+    A customer orders, changes or returns what they have; stock corrections name no customer."""
+    products = [(r.product_id, float(r.price)) for r in catalog.select("product_id", "price").orderBy("product_id").limit(10_001).collect()]
+    if not 0 < len(products) <= 10_000:
+        raise ValueError("the catalog needs 1 to 10000 products")
+    names = [f.split()[0] for f in EVENTS.split(", ")]
+
+    def one(session: str) -> list[tuple]:
+        rng, rows, held = random.Random(f"{seed}|{session}"), [], {}
+        for turn in range(turns):
+            who, draw = f"C{rng.randrange(customers) + 1}", rng.random()
+            mine = sorted(k for k, q in held.items() if k[0] == who and q > 0)
+            product, price = products[rng.randrange(len(products))]
+            if draw < p_adjust:
+                rows.append((session, len(rows), "inventory_adjustment", None, None, product, float(rng.randrange(1, 20)), None, None, price))
+            elif draw < p_adjust + p_modify and mine:
+                key = mine[rng.randrange(len(mine))]
+                old, new = held[key], float(rng.randrange(1, 9))
+                held[key] = new
+                rows.append((session, len(rows), "modify_item", key[2], who, key[1], None, old, new, dict(products)[key[1]]))
+            elif draw < p_adjust + p_modify + p_return and mine:
+                key = mine[rng.randrange(len(mine))]
+                back = float(rng.randrange(1, int(held[key]) + 1))
+                held[key] -= back
+                rows.append((session, len(rows), "return_item", key[2], who, key[1], back, None, None, dict(products)[key[1]]))
+            else:
+                order = f"{session}-O{turn}"
+                for n in range(rng.randrange(1, most_items + 1)):
+                    product, price = products[rng.randrange(len(products))]
+                    qty = float(rng.randrange(1, 6))
+                    held[who, product, order] = held.get((who, product, order), 0.0) + qty
+                    rows.append((session, len(rows), "add_item" if n else "place_order", order, who, product, qty, None, None, price))
+        return rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in batch.column(0).to_pylist():
+                columns = list(zip(*one(f"session_{i + 1:03d}"), strict=True))
+                kinds = [pa.string(), pa.int32(), *[pa.string()] * 4, *[pa.float64()] * 4]
+                if columns:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+    return catalog.sparkSession.range(sessions).mapInArrow(run, EVENTS)

@@ -112,6 +112,14 @@ def temporal_parameters(bounds: tuple[float, float] | None, rng: random.Random,
     return {"temporal_predicate": sql, "temporal_phrase": words, "temporal_relation": relation}
 
 
+def pick_bucket(rng: random.Random, buckets: Sequence[str], turns: dict[str, int] | None = None, key: str = "") -> str:
+    """A random bucket, or with ``turns`` the next one of ``key``'s round."""
+    if turns is None:
+        return rng.choice(list(buckets))
+    turns[key] = turns.get(key, -1) + 1
+    return buckets[turns[key] % len(buckets)]
+
+
 def diverse(bank: Sequence[Mapping[str, object]], k: int, avoid: Sequence[str] = (), seed: int = 0, category: str = "category") -> list[Mapping[str, object]]:
     """``k`` templates, of as many categories as possible, avoided ones last."""
     rng = random.Random(seed)

@@ -6,12 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import session
-from ..functions import repair
-from ..operators import attempts, tables
+from ..functions import repair, text
+from ..operators import attempts, evidence, sessions, tables
 from ..sources import writers
+from . import trace
 from .catalog import Tables, query
 
 
+def _n(name: str = "n"):
+    return F.count(F.lit(1)).alias(name)
+
+
 def _pick(*texts: Column) -> Column:
     return F.element_at(F.array(*texts), (F.col("event_id") % len(texts) + 1).cast("int"))
 
@@ -64,13 +69,13 @@ def temporal_records(t: Tables) -> DataFrame:
 
 def _predicted(t: Tables) -> DataFrame:
     number, kind = F.col("value").cast("string"), F.col("event_type")
-    text = _pick(
+    shown = _pick(
         F.concat(F.lit('{"columns":["kind","total_v"],"rows":[["'), kind, F.lit('",'), number, F.lit('],["other",null]]}')),
         F.concat(F.lit('{"table":[{"kind":"'), kind, F.lit('","total_v":'), number, F.lit('},{"kind":"other"}]}')),
         F.concat(F.lit('[{"total_v":'), number, F.lit(',"kind":"'), kind, F.lit('"},{"kind":"other"}]')),
         F.lit("no table"), F.lit("[]"),
     )
-    return t.events.select("event_id", "event_type", tables.from_text(text, F.array(F.lit("kind"), F.lit("total_v"))).alias("table"))
+    return t.events.select("event_id", "event_type", tables.from_text(shown, F.array(F.lit("kind"), F.lit("total_v"))).alias("table"))
 
 
 @query("SELECT event_id, CASE WHEN event_id % 5 <= 2 THEN event_type || '|' || CAST(value AS VARCHAR) || chr(10) || 'other|-' WHEN event_id % 5 = 4 THEN '' END AS rows FROM events")
@@ -194,3 +199,60 @@ def log_files(t: Tables) -> DataFrame:
     for name, text in (("s1_attempt_1", '{"sample_id": "s1", "valid": true}'), ("s1_attempt_2", '{"sample_id": "s1",\n"valid": true}'), ("s1_attempt_3", '{"sample_id": "s1", "valid": false}'), ("s2_attempt_1", '{"sample_id": "s2", "valid": true}')):
         writers.replace_file(t.spark, f"{folder}/{name}.json", text)
     return attempts.winners(attempts.read_attempts(t.spark, folder, "sample_id string, valid boolean"), ["sample_id"]).select("sample_id", "attempt")
+
+
+# profiles, evidence and similar questions
+
+
+@query("SELECT event_id, CAST(CASE event_id % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END AS BIGINT) AS hop_count, CASE event_id % 3 WHEN 0 THEN 'batsman' WHEN 1 THEN 'both' ELSE 'unknown' END AS entity_target, CASE event_id % 3 WHEN 0 THEN 'SUM' WHEN 1 THEN 'COUNT' ELSE '' END AS functions FROM events")
+def statement_profiles(t: Tables) -> DataFrame:
+    sql = _pick(F.lit("SELECT batsman, sum(runs) FROM df"), F.lit("SELECT batsman, n FROM (SELECT batsman, count(DISTINCT bowler) AS n FROM df GROUP BY batsman)"), F.lit("SELECT a.x FROM df a JOIN df b ON a.i = b.i JOIN df c ON c.i = a.i"))
+    made = text.sql_profile(sql)
+    return t.events.select("event_id", made["hop_count"].cast("bigint").alias("hop_count"), made["entity_target"].alias("entity_target"), F.array_join(made["functions"], ",").alias("functions"))
+
+
+@query("SELECT event_id, CAST(event_id AS VARCHAR) || ' | user_id=' || CAST(user_id AS VARCHAR) || CASE WHEN event_type = 'view' THEN '' ELSE ' | event_type=' || event_type END || ' | value=' || CAST(value AS VARCHAR) AS line FROM events")
+def evidence_lines(t: Tables) -> DataFrame:
+    made = t.events.withColumn("event_type", F.when(F.col("event_type") == "view", " ").otherwise(F.col("event_type"))).withColumn("none", F.lit(None).cast("string"))
+    return made.select("event_id", evidence.ledger_line("event_id", ["user_id"], ["event_type", "value", "none"], ["event_type"]).alias("line"))
+
+
+@query("SELECT user_id, count(*) AS n, count(*) AS evidence_rows, string_agg(CAST(event_id AS VARCHAR) || ' | value=' || CAST(value AS VARCHAR), chr(10) ORDER BY event_id) FILTER (nth <= 3) AS evidence FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS nth FROM events WHERE event_type = 'purchase') GROUP BY user_id HAVING count(*) > 1")
+def answers_with_evidence(t: Tables) -> DataFrame:
+    """Each answer row with the first lines of the base rows behind it."""
+    traced = trace.trace(t.events, "event_id", "SELECT user_id, count(*) AS n FROM df WHERE event_type = 'purchase' GROUP BY user_id HAVING count(*) > 1")
+    told = evidence.with_evidence(traced.result, traced.lineage, t.events, "event_id", evidence.ledger_line("event_id", [], ["value"]), most=3)
+    return told.select("user_id", "n", "evidence_rows", F.array_join("evidence", "\n").alias("evidence"))
+
+
+@query("SELECT event_id, round(event_id / CAST(greatest((SELECT count(*) FROM events) - 1, 1) AS DOUBLE), 9) AS position FROM events")
+def relative_positions(t: Tables) -> DataFrame:
+    rows = t.events.count()
+    return t.events.select("event_id", F.round(evidence.relative_position(F.col("event_id"), F.lit(rows)), 9).alias("position"))
+
+
+@query("SELECT p_partkey AS record_id, p_partkey % 3 AS idx, 1.0 AS similarity FROM part")
+def similar_templates(t: Tables) -> DataFrame:
+    """The template whose question is most like the one asked."""
+    asks = lambda i: F.concat(F.lit("How often is "), "p_name", F.element_at(F.array(F.lit(" sold?"), F.lit(" seen by a customer?"), F.lit(" the best of all in size and price?")), (i + 1).cast("int")))
+    records = t.part.select(F.col("p_partkey").alias("record_id"), F.col("p_partkey").alias("item_id"), F.upper(asks(F.col("p_partkey") % 3)).alias("question"))
+    templates = t.part.select(F.col("p_partkey").alias("item_id"), F.explode(F.array(*(F.lit(i).cast("bigint") for i in range(3)))).alias("idx"), "p_name").select("item_id", "idx", asks(F.col("idx")).alias("question"))
+    return evidence.best_template(records, templates)
+
+
+@query("SELECT doc_id, CAST(length(text) AS BIGINT) AS text_length FROM documents WHERE text IS NOT NULL ORDER BY text_length, doc_id LIMIT 5")
+def shortest_texts(t: Tables) -> DataFrame:
+    return evidence.shortest(t.documents, "text", ["doc_id"], 5).select("doc_id", F.col("text_length").cast("bigint").alias("text_length"))
+
+
+@query("SELECT CAST(6 AS BIGINT) AS sessions, true AS same, true AS dense, 0 AS oversold")
+def simulated_sessions(t: Tables) -> DataFrame:
+    """A seeded simulator's logs: the same twice, numbered without gaps, and nothing returned that wasn't bought."""
+    catalog = t.part.groupBy(F.col("p_brand").alias("product_id")).agg(F.round(F.avg("p_retailprice"), 2).alias("price"))
+    one, two = (sessions.simulate(catalog, 6, 30).repartition(n) for n in (1, 4))
+    numbers = one.groupBy("session_id").agg(F.count(F.lit(1)).alias("n"), F.max("time_idx").alias("last"))
+    dense = numbers.agg(_n("sessions"), F.bool_and(F.col("n") == F.col("last") + 1).alias("dense"))
+    held = sessions.signed(one.filter("order_id IS NOT NULL")).groupBy("session_id", "order_id", "product_id").agg(F.sum("signed_qty").alias("q"))
+    oversold = held.agg(F.count_if(F.col("q") < 0).cast("int").alias("oversold"))
+    row = (dense.first(), one.exceptAll(two).isEmpty() and two.exceptAll(one).isEmpty(), oversold.first())
+    return t.spark.createDataFrame([(row[0].sessions, row[1], row[0].dense, row[2].oversold)], "sessions bigint, same boolean, dense boolean, oversold int")

@@ -148,6 +148,47 @@ def generate(templates: Sequence[Mapping[str, object]], sources: Mapping[str, Da
     return made, errors
 
 
+def generate_split(templates: Sequence[Mapping[str, object]], sources: Mapping[str, DataFrame], key: str, samples: int = 1, seed: int = 42, keep_zeroish: bool = False) -> tuple[list[dict[str, object]], list[dict[str, object]]]:
+    """``generate`` with each record's row lineage (sources have ``key``, the row's id), the sizes of its answer, the
+    columns that it targets, and its place among its template's samples; records whose shape has no
+    lineage are errors."""
+    from . import trace
+
+    made, errors = generate(templates, sources, samples, seed, keep_zeroish)
+    out = []
+    for record in made:
+        base = sources[record["source_id"]]
+        lineage = trace.describe(base, key, record["sql"])
+        if not lineage["provenance_supported"]:
+            errors.append({**record, "error": lineage["provenance_error"]})
+            continue
+        answer = record["answer"]
+        share = lineage["row_indices_contributing_count"] / max(1, lineage["row_indices_scanned_count"])
+        sizes = {"num_answer_rows": len(answer["rows"]), "num_answer_columns": len(answer["columns"]), "contributing_row_fraction": share}
+        out.append({**record, "sample_idx": record["sample"], **lineage, **sizes, "projection": trace.projection(base.sparkSession, record["sql"], base.columns)})
+    return out, errors
+
+
+def prepare_benchmark(records: Sequence[Mapping[str, object]], contexts: Mapping[str, str], answers: Mapping[object, object] | None = None) -> tuple[list[dict[str, object]], list[dict[str, object]]]:
+    """(accepted, excluded) benchmark rows: context, question, answer and a record id that is unique.
+
+    A record without a context gets its source's whole one; one whose answer isn't what its
+    statement gives (``answers``, by record id) is excluded, and so is what lacks a part."""
+    accepted, excluded, seen = [], [], set()
+    for r in records:
+        name = r.get("record_id") or r.get("item_id")
+        row = {"record_id": name, "context": r.get("context") or contexts.get(str(r.get("source_id") or r.get("match_path") or "")), "question": r.get("question"), "answer": r.get("answer")}
+        lacking = next((c for c in row if row[c] in (None, "", [])), None)
+        wrong = answers is not None and name in answers and answer_signature(answers[name]) != answer_signature(row["answer"])
+        why = f"no {lacking}" if lacking else "repeated record_id" if name in seen else "the answer isn't its statement's" if wrong else None
+        if why:
+            excluded.append({**row, "reason": why})
+        else:
+            seen.add(name)
+            accepted.append(row)
+    return accepted, excluded
+
+
 def cap_zeroish(flags: Sequence[bool], share: float = 0.02) -> list[bool]:
     """Which candidates stay, in order, if at most ``share`` of those kept may have empty answers."""
     kept = zeros = 0
