@@ -142,8 +142,14 @@ def compress_ranges(df: DataFrame, keys: Sequence[str], number: str, alias: str
 
 
 def concat_ordered(df: DataFrame, keys: Sequence[str], order: str, text: Column, separator: str = "\n", most_chars: int | None = None, alias: str = "context") -> DataFrame:
-    """Texts of each key joined in order; longer results are cut to ``most_chars`` and marked `` ...``."""
-    parts = df.filter(text.isNotNull()).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), text.alias("t")))).alias("p"))
+    """Texts of each key joined in order; longer results are cut to ``most_chars`` and marked `` ...``.
+
+    With a limit only texts that begin before it are gathered, so a key's row is bounded."""
+    rows = df.filter(text.isNotNull()).select(*keys, F.col(order).alias("__o"), text.alias("__t"))
+    if most_chars is not None:
+        before = F.sum(F.length("__t") + len(separator)).over(Window.partitionBy(*_cols(keys)).orderBy("__o", "__t").rowsBetween(Window.unboundedPreceding, -1))
+        rows = rows.withColumn("__before", F.coalesce(before, F.lit(0))).filter(F.col("__before") <= most_chars).withColumn("__t", F.substring("__t", 1, most_chars + 1))
+    parts = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("__o").alias("o"), F.col("__t").alias("t")))).alias("p"))
     joined = F.array_join(F.col("p.t"), separator)
     if most_chars is not None:
         joined = F.when(F.length(joined) > most_chars, F.concat(F.substring(joined, 1, most_chars), F.lit(" ..."))).otherwise(joined)

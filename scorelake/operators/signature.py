@@ -91,6 +91,14 @@ def first_wins(df: DataFrame, scope: Sequence[str], fingerprint: str, order: str
     return joined.withColumn("kept", F.coalesce(F.col(order) == F.col("first"), F.lit(True)))
 
 
+def keep_first(df: DataFrame, scope: Sequence[str], fingerprint: Column, order: str) -> DataFrame:
+    """``scope`` and ``order`` of the rows that ``first_wins`` keeps, for distinct order values: one scan, one
+    partial aggregation, and no join, so that a fingerprint is made once and a hot one is combined where it is."""
+    keyed = df.select(*scope, order, F.nullif(fingerprint, F.lit("")).alias("__fp"))
+    alone = F.when(F.col("__fp").isNull(), F.col(order))
+    return keyed.groupBy(*scope, "__fp", alone.alias("__alone")).agg(F.min(order).alias(order)).select(*scope, order)
+
+
 def seen_before(df: DataFrame, fingerprint: str, registry: DataFrame) -> DataFrame:
     """Rows whose fingerprint the registry table lacks."""
     return df.join(registry.select(fingerprint).distinct(), fingerprint, "left_anti")

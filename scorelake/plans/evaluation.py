@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import lineage, pressure, sessions, signature, strata, vote
+from ..operators import idioms, lineage, pressure, sessions, signature, strata, vote
 from ..functions import text
 from .catalog import Tables, query
 from .relational import MINUTE, SQL_EVENTS
@@ -52,8 +52,14 @@ def lineage_cte(t: Tables) -> DataFrame:
 
 @query("SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY source, sha256(lower(regexp_replace(trim(text), '\\s+', ' ', 'g'))) ORDER BY doc_id) AS rn FROM documents) WHERE rn = 1")
 def dedup_first_wins(t: Tables) -> DataFrame:
-    keyed = t.documents.withColumn("fp", F.sha2(text.canonical_sql(F.col("text")), 256))
-    return signature.first_wins(keyed, ["source"], "fp", "doc_id").filter("kept").select("doc_id")
+    return signature.keep_first(t.documents, ["source"], F.sha2(text.canonical_sql(F.col("text")), 256), "doc_id").select("doc_id")
+
+
+@query("SELECT doc_id, first, first = doc_id AS kept FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY source, sha256(lower(regexp_replace(trim(text), '\\s+', ' ', 'g')))) AS first FROM documents)")
+def dedup_report(t: Tables) -> DataFrame:
+    """Every row with the one that it repeats."""
+    keyed = t.documents.select("doc_id", "source", F.sha2(text.canonical_sql(F.col("text")), 256).alias("fp"))
+    return signature.first_wins(keyed, ["source"], "fp", "doc_id").select("doc_id", "first", "kept")
 
 
 @query("SELECT o_custkey, sha256(string_agg(o_orderstatus || ':' || o_orderpriority, '|' ORDER BY o_orderstatus || ':' || o_orderpriority)) AS sig FROM orders GROUP BY o_custkey")
@@ -66,6 +72,12 @@ def canonical_text_fp(t: Tables) -> DataFrame:
     return t.benchmark.select("item_id", F.sha2(text.canonical_description(F.col("text")), 256).alias("fp"))
 
 
+@query("SELECT conv_id, CASE WHEN length(c) > 60 THEN substr(c, 1, 60) || ' ...' ELSE c END AS context FROM (SELECT conv_id, string_agg(role || ' | ' || text, chr(10) ORDER BY turn) AS c FROM conversations GROUP BY conv_id)")
+def context_cut(t: Tables) -> DataFrame:
+    """Contexts with a limit of characters."""
+    return idioms.concat_ordered(t.conversations, ["conv_id"], "turn", F.concat_ws(" | ", "role", "text"), most_chars=60)
+
+
 # metrics of a predicted against a gold table
 
 _GOLD = "SELECT doc_id, quality, toxic FROM labels"
