@@ -2,6 +2,11 @@
 
 ``STAGES`` are applied in order; each stage gets all documents that its predecessor kept, written as
 Parquet and reread, and all but the last return the columns of ``documents``.
+
+Defined cases, for every stage: an empty table gives an empty one; other columns than those of
+``documents`` are dropped, whatever their names; null ids, languages, sources and lengths are values
+like others; texts of any length are read whole.  Null and empty texts: the classifier scores them by
+its bias alone, they link with nothing, lose nothing, hit nothing, and have no token ids.
 """
 
 from __future__ import annotations
@@ -19,7 +24,10 @@ NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts (score of 0.5 or more)."""
+    """Documents that the classifier accepts (score of 0.5 or more).
+
+    Repeated rows have one score and stay or go together; a score of just 0.5 stays; without any
+    label that isn't held out every score is 0.5, so all stay."""
     labelled = quality.training_rows(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     weights = quality.fit(labelled, rows=None)
     return quality.score(docs, weights, keep=COLUMNS[1:]).filter("score >= 0.5").select(*COLUMNS)
@@ -47,20 +55,25 @@ def near_duplicate_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def repeat_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without their passages of 35 words and more that stand elsewhere too."""
+    """All documents, without their passages of 35 words and more that stand elsewhere too.
+
+    No row goes: a text all of whose words are repeated becomes empty, and rows that repeat a text of 35
+    words or more (which the stage before leaves only for texts that it can't link) all do."""
     cut = substring.remove_repeats(docs)
     return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*COLUMNS)
 
 
 def contamination_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with no benchmark window, or with less than a twentieth of their words in such."""
+    """Documents with no benchmark window, or with less than a twentieth of their words in such.
+
+    Just a twentieth goes; repeated rows stay or go together; an empty benchmark keeps all."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = decontaminate.find_contamination(docs, items, keep=COLUMNS[1:])
     return found.filter("NOT (n_hit > 0 AND 20 * n_hit >= n_words)").select(*COLUMNS)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each kept document, with the digests of ids and decoded text."""
+    """Token ids of each kept document, with the digests of ids and decoded text; one row for each row."""
     return bpe.encode_decode(docs, with_text=False)
 
 
