@@ -76,3 +76,11 @@ def consumed(requests: DataFrame, outputs: DataFrame, key: str = "custom_id", or
     """Requests with their latest output; those without any have nulls."""
     best = outputs.groupBy(key).agg(F.max(F.struct(order, *(c for c in outputs.columns if c not in (key, order)))).alias("__best"))
     return requests.join(best, key, "left").select(*requests.columns, "__best.*")
+
+
+def chosen(results: DataFrame, attempts: str = "attempts", choice: str = "chosen_attempt", number: str = "attempt", by_place: bool = False) -> DataFrame:
+    """``results`` with ``chosen``, the attempt that ``choice`` names: by its own number, or by its place in the list
+    as older files are read."""
+    place = F.try_element_at(F.col(attempts), (F.col(choice) + 1).cast("int"))
+    named = F.try_element_at(F.filter(F.col(attempts), lambda a: a[number] == F.col(choice)), F.lit(1))
+    return results.withColumn("chosen", F.when(F.col(choice).isNotNull(), place if by_place else named))

@@ -118,9 +118,9 @@ def profile(pressures: Mapping[str, str]) -> Column:
     return F.concat_ws(" | ", *(F.concat(F.lit(f"{k}="), F.coalesce(F.col(c), F.lit("other"))) for k, c in pressures.items()))
 
 
-def totals(counters: DataFrame, by: str, sums: Sequence[str]) -> DataFrame:
-    """Counters summed by setting and over all (``by`` null)."""
-    return counters.rollup(by).agg(*(F.sum(c).alias(c) for c in sums))
+def totals(counters: DataFrame, by: str | Sequence[str], sums: Sequence[str]) -> DataFrame:
+    """Counters summed by setting (or several, from the widest) and over all (``by`` null)."""
+    return counters.rollup(*([by] if isinstance(by, str) else by)).agg(*(F.sum(c).alias(c) for c in sums))
 
 
 def guarded_ratio(a: str, b: str) -> Column:
@@ -131,3 +131,50 @@ def latest(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """The row of the largest order value of each key: last entry wins."""
     w = Window.partitionBy(*keys).orderBy(F.desc(order))
     return df.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
+
+
+def summary(scored: DataFrame) -> DataFrame:
+    """Micro and macro means of aligned-table scores (``align.score_tables``): one row."""
+    ratio = lambda a, b: F.coalesce(F.sum(a) / F.nullif(F.sum(b), F.lit(0)), F.lit(0.0))
+    return scored.agg(
+        F.count(F.lit(1)).alias("records"), F.count_if("exact_match").alias("exact_matches"), F.count_if("row_match").alias("row_matches"), F.count_if("col_match").alias("col_matches"),
+        ratio("pairs", "gold_rows").alias("micro_recall"), ratio("pairs", "pred_rows").alias("micro_precision"), F.avg("pk_recall").alias("macro_recall"), F.avg("pk_precision").alias("macro_precision"),
+        (100 * ratio("correct_cells", "total_cells")).alias("micro_cell_acc"), F.avg("cell_acc").alias("macro_cell_acc"), *(F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn")),
+    )
+
+
+def question_scores(gold: DataFrame, pred: DataFrame, question: str, keys: Sequence[str], value: str, tolerance: float = 0.4) -> DataFrame:
+    """Each question's accuracy (gold rows whose predicted value is within ``tolerance``), the share of its
+    predicted rows that are gold ones, and the error over the rows that both have."""
+    both = [question, *keys]
+    g = gold.select(*both, F.col(value).cast("double").alias("__g")).withColumn("__gold", F.lit(True))
+    p = pred.select(*both, F.col(value).cast("double").alias("__p")).withColumn("__pred", F.lit(True))
+    met = g.join(p, both, "full_outer")
+    near = F.coalesce(F.abs(F.col("__p") - F.col("__g")) <= tolerance, F.lit(False))
+    e = F.col("__p") - F.col("__g")
+    return met.groupBy(question).agg(
+        F.count("__gold").alias("gold_rows"), (F.count_if(near) / F.nullif(F.count("__gold"), F.lit(0))).alias("accuracy"),
+        (F.count_if(F.col("__gold").isNotNull() & F.col("__pred").isNotNull()) / F.nullif(F.count("__pred"), F.lit(0))).alias("precision_at_k"), F.sqrt(F.avg(e * e)).alias("rmse"),
+    )
+
+
+def model_suite(df: DataFrame, factors: Sequence[str], metric: str, model: str, a: object, b: object) -> DataFrame:
+    """Both models' means by each factor's levels, and their difference (b minus a): ``factor``, ``level``, ``n_a``,
+    ``n_b``, ``mean_a``, ``mean_b``, ``delta``.  One pass for all factors."""
+    level = F.explode(F.array(*(F.struct(F.lit(f).alias("factor"), F.col(f).cast("string").alias("level")) for f in factors)))
+    of = lambda m: F.when(F.col(model) == m, F.col(metric))
+    made = df.select(level.alias("x"), model, metric).groupBy("x.factor", "x.level").agg(F.count(of(a)).alias("n_a"), F.count(of(b)).alias("n_b"), F.avg(of(a)).alias("mean_a"), F.avg(of(b)).alias("mean_b"))
+    return made.withColumn("delta", F.col("mean_b") - F.col("mean_a"))
+
+
+def paired_deltas(df: DataFrame, key: str, factor: str, metric: str, model: str, a: object, b: object) -> DataFrame:
+    """Mean difference (b minus a) over the keys that both models have a value for, by factor level."""
+    of = lambda m: F.avg(F.when(F.col(model) == m, F.col(metric)))
+    paired = df.groupBy(key, factor).agg(of(a).alias("__a"), of(b).alias("__b")).filter("__a IS NOT NULL AND __b IS NOT NULL")
+    return paired.groupBy(factor).agg(F.count(F.lit(1)).alias("pairs"), F.avg(F.col("__b") - F.col("__a")).alias("delta"), F.count_if(F.col("__b") > F.col("__a")).alias("wins"), F.count_if(F.col("__b") < F.col("__a")).alias("losses"))
+
+
+def paired_keys(df: DataFrame, key: str, metric: str, model: str, models: Sequence[object], true_only: bool = False) -> DataFrame:
+    """Keys for which every model has a value (or, with ``true_only``, has true)."""
+    has = lambda m: F.bool_or((F.col(model) == m) & (F.coalesce(F.col(metric).cast("boolean"), F.lit(False)) if true_only else F.col(metric).isNotNull()))
+    return df.groupBy(key).agg(*(has(m).alias(f"__{i}") for i, m in enumerate(models))).filter(" AND ".join(f"__{i}" for i in range(len(models)))).select(key)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import session
 from ..functions import repair, text
-from ..operators import attempts, evidence, sessions, tables
+from ..operators import align, attempts, evidence, sessions, strata, tables
 from ..sources import writers
 from . import trace
 from .catalog import Tables, query
@@ -256,3 +256,69 @@ def simulated_sessions(t: Tables) -> DataFrame:
     oversold = held.agg(F.count_if(F.col("q") < 0).cast("int").alias("oversold"))
     row = (dense.first(), one.exceptAll(two).isEmpty() and two.exceptAll(one).isEmpty(), oversold.first())
     return t.spark.createDataFrame([(row[0].sessions, row[1], row[0].dense, row[2].oversold)], "sessions bigint, same boolean, dense boolean, oversold int")
+
+
+# suites: settings, questions and pairs of models
+
+_RESULTS = "(SELECT 'a' AS model, d.doc_id, lang, source, quality AS score FROM documents d JOIN labels l ON l.doc_id = d.doc_id UNION ALL SELECT 'b', d.doc_id, lang, source, CASE WHEN d.doc_id % 4 > 0 THEN toxic END FROM documents d JOIN labels l ON l.doc_id = d.doc_id)"
+
+
+def _results(t: Tables) -> DataFrame:
+    joined = t.documents.select("doc_id", "lang", "source").join(t.labels, "doc_id")
+    one = joined.select(F.lit("a").alias("model"), "doc_id", "lang", "source", F.col("quality").alias("score"))
+    return one.unionByName(joined.select(F.lit("b").alias("model"), "doc_id", "lang", "source", F.when(F.col("doc_id") % 4 > 0, F.col("toxic")).alias("score")))
+
+
+@query(f"SELECT 'lang' AS factor, lang AS level, count(score) FILTER (model = 'a') AS n_a, count(score) FILTER (model = 'b') AS n_b, round(avg(score) FILTER (model = 'b') - avg(score) FILTER (model = 'a'), 6) AS delta FROM {_RESULTS} GROUP BY lang UNION ALL SELECT 'source', source, count(score) FILTER (model = 'a'), count(score) FILTER (model = 'b'), round(avg(score) FILTER (model = 'b') - avg(score) FILTER (model = 'a'), 6) FROM {_RESULTS} GROUP BY source")
+def suite_pooled(t: Tables) -> DataFrame:
+    """Two models' scores pooled by the levels of every factor."""
+    return strata.model_suite(_results(t), ["lang", "source"], "score", "model", "a", "b").select("factor", "level", "n_a", "n_b", F.round("delta", 6).alias("delta"))
+
+
+@query(f"WITH p AS (SELECT doc_id, lang, max(score) FILTER (model = 'a') AS a, max(score) FILTER (model = 'b') AS b FROM {_RESULTS} GROUP BY 1, 2) SELECT lang, count(*) AS pairs, round(avg(b - a), 6) AS delta, count(*) FILTER (b > a) AS wins, count(*) FILTER (b < a) AS losses FROM p WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY lang")
+def suite_paired(t: Tables) -> DataFrame:
+    return strata.paired_deltas(_results(t), "doc_id", "lang", "score", "model", "a", "b").select("lang", "pairs", F.round("delta", 6).alias("delta"), "wins", "losses")
+
+
+@query(f"SELECT doc_id FROM {_RESULTS} GROUP BY doc_id HAVING count(score) FILTER (model = 'a') > 0 AND count(score) FILTER (model = 'b') > 0")
+def suite_paired_records(t: Tables) -> DataFrame:
+    return strata.paired_keys(_results(t), "doc_id", "score", "model", ["a", "b"])
+
+
+@query(f"SELECT doc_id FROM {_RESULTS} GROUP BY doc_id HAVING coalesce(max(score) FILTER (model = 'a'), 0) = 1 AND coalesce(max(score) FILTER (model = 'b'), 0) = 1")
+def suite_both_right(t: Tables) -> DataFrame:
+    return strata.paired_keys(_results(t), "doc_id", "score", "model", ["a", "b"], true_only=True)
+
+
+@query("SELECT l_returnflag AS split, l_linestatus AS setting, CAST(count(*) AS BIGINT) AS records, CAST(sum(CASE WHEN l_discount > 0.05 THEN 1 ELSE 0 END) AS BIGINT) AS correct FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
+def suite_totals(t: Tables) -> DataFrame:
+    """Counters of each split and setting, of each split, and of all."""
+    counters = t.lineitem.select(F.col("l_returnflag").alias("split"), F.col("l_linestatus").alias("setting"), F.lit(1).cast("bigint").alias("records"), F.when(F.col("l_discount") > 0.05, 1).otherwise(0).alias("correct"))
+    return strata.totals(counters, ["split", "setting"], ["records", "correct"]).select("split", "setting", "records", "correct")
+
+
+@query("WITH e AS (SELECT event_id // 8 AS r, event_id % 3 <> 0 AS there, event_id % 2 = 0 AS near FROM events), s AS (SELECT r, count(*) AS g, count(*) FILTER (there) AS p, count(*) FILTER (there AND near) AS c FROM e GROUP BY r) SELECT count(*) AS records, count(*) FILTER (g = p) AS row_matches, count(*) AS col_matches, round(sum(p) / sum(g), 6) AS micro_recall, round(avg(p / g), 6) AS macro_recall, round(100 * sum(c) / sum(p), 6) AS micro_cell_acc, round(avg(100.0 * c / nullif(p, 0)), 6) AS macro_cell_acc FROM s")
+def suite_summary(t: Tables) -> DataFrame:
+    """Micro and macro means over records."""
+    from .columns import _answers
+
+    made = strata.summary(align.score_tables(_answers(t)))
+    return made.select("records", "row_matches", "col_matches", *(F.round(c, 6).alias(c) for c in ("micro_recall", "macro_recall", "micro_cell_acc", "macro_cell_acc")))
+
+
+@query("WITH g AS (SELECT o_orderstatus AS q, o_orderkey AS k, o_totalprice AS v FROM orders WHERE o_orderkey % 5 <> 0), p AS (SELECT o_orderstatus AS q, o_orderkey AS k, o_totalprice + CASE WHEN o_orderkey % 2 = 0 THEN 0.25 ELSE 2 END AS v FROM orders WHERE o_orderkey % 3 <> 0), m AS (SELECT coalesce(g.q, p.q) AS q, g.v AS gv, p.v AS pv, g.k AS gk, p.k AS pk FROM g FULL JOIN p ON g.q = p.q AND g.k = p.k) SELECT q AS question, count(gk) AS gold_rows, round(count(*) FILTER (abs(pv - gv) <= 0.4) / count(gk), 6) AS accuracy, round(count(*) FILTER (gk IS NOT NULL AND pk IS NOT NULL) / count(pk), 6) AS precision_at_k, round(sqrt(avg((pv - gv) * (pv - gv))), 4) AS rmse FROM m GROUP BY q")
+def suite_question_scores(t: Tables) -> DataFrame:
+    """Accuracy within a tolerance, precision and error of each question's table."""
+    rows = t.orders.select(F.col("o_orderstatus").alias("question"), F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("v"))
+    pred = rows.filter("k % 3 <> 0").withColumn("v", F.col("v") + F.when(F.col("k") % 2 == 0, 0.25).otherwise(2))
+    scored = strata.question_scores(rows.filter("k % 5 <> 0"), pred, "question", ["k"], "v")
+    return scored.select("question", "gold_rows", F.round("accuracy", 6).alias("accuracy"), F.round("precision_at_k", 6).alias("precision_at_k"), F.round("rmse", 4).alias("rmse"))
+
+
+@query("SELECT user_id, max(event_id) FILTER (nth = user_id % 3) AS by_place, max(event_id) FILTER (event_id % 5 = user_id % 3 AND first) AS by_number FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS nth, row_number() OVER (PARTITION BY user_id, event_id % 5 ORDER BY event_id) = 1 AS first FROM events) GROUP BY user_id")
+def chosen_attempts(t: Tables) -> DataFrame:
+    """The attempt that a result chose, by place and by number."""
+    listed = F.array_sort(F.collect_list(F.struct("event_id", (F.col("event_id") % 5).alias("attempt"))))
+    results = t.events.groupBy("user_id").agg(listed.alias("attempts")).withColumn("chosen_attempt", F.col("user_id") % 3)
+    one = attempts.chosen(results, by_place=True).select("*", F.col("chosen.event_id").alias("by_place")).drop("chosen")
+    return attempts.chosen(one).select("user_id", "by_place", F.col("chosen.event_id").alias("by_number"))
