@@ -1,7 +1,7 @@
 """BPE encoding and decoding by per-prefix dynamic programming.
 
 For every prefix of a pre-token exactly one vocabulary token can be the last one of its BPE
-encoding.  An Aho-Corasick automaton (a suffix automaton over the vocabulary) lists the tokens
+encoding.  An Aho-Corasick automaton over the vocabulary gives the suffix matches, that is the tokens
 that end at each position; a token is the last one of a prefix if it is compatible with the last
 token of the prefix before it, that is, if BPE would leave the border between the two alone.
 The table of last tokens is filled left to right and followed backwards to emit the ids, so time is
@@ -33,7 +33,7 @@ from . import store, textbuf
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _NEVER = 1 << 62
 #: Entries after which a process empties its caches; they save time only.
-CACHE_WORDS, CACHE_PAIRS, CACHED_LENGTH = 120_000, 200_000, 64
+CACHE_WORDS, CACHE_PAIRS, CACHED_LENGTH = 150_000, 200_000, 64
 
 
 #: White space right before a blank.
@@ -148,8 +148,10 @@ class BpeCodec:
 
     def _piece(self, piece: str) -> str:
         """Ids of a stretch of text that starts and ends at borders of pre-tokens."""
-        out = []
-        for word in self._split.findall(piece):
+        out, words = [], self._split.findall(piece)
+        if len(words) == 1:  # the caller remembers the whole piece
+            return self._words.get(piece) or self._pre_token(piece)
+        for word in words:
             ids = self._words.get(word)
             out.append(self._pre_token(word) if ids is None else ids)
             if ids is None and len(word) <= CACHED_LENGTH:
@@ -272,5 +274,6 @@ def encode_decode(
                         out["decoded_sha256"].append(hashlib.sha256(decoded.encode()).hexdigest())
                 arrays = [part.column(0), pa.array(out["n_tokens"], pa.int64()), *(pa.array(out[n], t) for n, t in wanted), pa.array(out["ids_sha256"], pa.string()), pa.array(out["decoded_sha256"], pa.string())]
                 yield pa.RecordBatch.from_arrays(arrays, names)
+            textbuf.trim()
 
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)

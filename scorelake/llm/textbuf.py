@@ -51,12 +51,18 @@ _DIGESTS = _Digests()
 KEPT: list[dict] = []
 
 
+def trim() -> None:
+    """Give freed memory back to the system: workers wait for their next task with little."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def _give_up() -> None:
     if any(KEPT):
         for kept in KEPT:
             kept.clear()
-        with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL(None).malloc_trim(0)
+        trim()
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -93,6 +99,7 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
         end = min(n, max(end, first + 1))
         yield first, end, offsets[first : end + 1] - offsets[first], raw[offsets[first] : offsets[end]]
         first = end
+    trim()
 
 
 def words(offsets: np.ndarray, raw: np.ndarray, separators: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
