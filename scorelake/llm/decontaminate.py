@@ -85,20 +85,33 @@ def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "tex
     return cut.select("item", "w", F.explode(starts).alias("s")).select("item", F.slice("w", F.col("s"), F.lit(window)).alias("win")).distinct()
 
 
-def phrase_candidates(index: PositionalIndex, windows: DataFrame) -> DataFrame:
-    """Places at which the rarest terms of a window stand as the window has them: ``key``, ``window``,
-    ``n``, ``start``; ``windows`` has ``window`` (its digest) and ``win``.  A window with a term that never
-    occurs has none."""
+def shifted_postings(index: PositionalIndex, windows: DataFrame) -> DataFrame:
+    """Postings of each window's rarest terms, shifted back by the terms' offsets: ``key``, ``window``, ``n``,
+    ``lists`` (how many terms), ``nth`` (which) and ``start``; ``windows`` has ``window`` (its digest) and ``win``.
+    A window with a term that never occurs has none."""
     spelled = _with_frequency(index, windows.select("window", F.size("win").alias("n"), F.posexplode("win").alias("off", "word")))
     rarest = spelled.withColumn("nth", F.row_number().over(Window.partitionBy("window").orderBy("df", "off"))).filter(F.col("nth") <= RAREST)
     whole = Window.partitionBy("window")
     anchors = rarest.select("term", "window", "n", "off", "nth", F.min("df").over(whole).alias("least"), F.count(F.lit(1)).over(whole).alias("lists")).filter("least > 0").drop("least")
-    anchors, anchors_uri = store.write_table(anchors, "index-anchors")
-    shifted = index.postings.join(_bounded(anchors, 80), "term").select("key", "window", "n", "lists", (F.col("pos") - F.col("off")).alias("start"), "nth").filter("start >= 0")
+    anchors, _ = store.write_table(anchors, "index-anchors")
+    return index.postings.join(_bounded(anchors, 80), "term").select("key", "window", "n", "lists", (F.col("pos") - F.col("off")).alias("start"), "nth").filter("start >= 0")
+
+
+def phrase_candidates(shifted: DataFrame) -> DataFrame:
+    """Places at which all the rarest terms of a window stand as the window has them: ``key``, ``window``, ``n``,
+    ``start``."""
     met = shifted.groupBy("key", "window", "n", "lists", "start").agg(F.bit_or(F.expr("shiftleft(1, nth)")).alias("which")).filter("bit_count(which) = lists")
-    candidates, _ = store.write_table(met.select("key", "window", "n", "start"), "index-candidates")
-    store.drop(windows.sparkSession, anchors_uri)
-    return candidates
+    return store.write_table(met.select("key", "window", "n", "start"), "index-candidates")[0]
+
+
+def near_windows(shifted: DataFrame, slack: int) -> DataFrame:
+    """``key`` and ``n_near``, the windows of which the rarest terms stand as far from each other as in the
+    window but for ``slack`` words more or less."""
+    order = Window.partitionBy("key", "window").orderBy("start", "nth")
+    # of starts in order, those of different terms that are nearest are neighbours
+    gap = F.when(F.lag("nth").over(order) != F.col("nth"), F.col("start") - F.lag("start").over(order))
+    near = shifted.withColumn("gap", gap).filter((F.col("gap") <= slack) | (F.col("lists") == 1))
+    return near.select("key", "window").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n_near"))
 
 
 def phrase_matches(candidates: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -123,16 +136,19 @@ def _covered(hits: Column) -> Column:
     return F.aggregate(spans, none, more, lambda a: a["n"])
 
 
-def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, keep: tuple[str, ...] = (), index: PositionalIndex | None = None) -> DataFrame:
+def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, keep: tuple[str, ...] = (), index: PositionalIndex | None = None, near: int | None = None) -> DataFrame:
     """One row for each row of ``docs``: ``id_col``, the columns ``keep``, ``n_words``, ``n_hit`` (words inside occurrences of
     item windows) and ``items`` (sorted ids, as strings, of items with occurring windows).
 
-    ``index`` is one that ``build_index`` made of the same ``docs``; without it one is made and deleted."""
+    ``index`` is one that ``build_index`` made of the same ``docs``; without it one is made and deleted.  With
+    ``near`` also ``n_near``: the windows whose rarest terms stand in their places but for so many words."""
     spark = docs.sparkSession
     digest = F.unhex(F.md5(F.array_join("win", " ")))
     cut, cut_uri = store.write_table(item_windows(items, item_id_col, item_text_col, window).withColumn("window", digest), "item-windows")
     of = index or build_index(docs, id_col, text_col)
-    candidates = phrase_candidates(of, cut.select("window", "win").dropDuplicates(["window"]))
+    shifted = shifted_postings(of, cut.select("window", "win").dropDuplicates(["window"]))
+    candidates = phrase_candidates(shifted)
+    close = None if near is None else store.write_table(near_windows(shifted, near).withColumnRenamed("key", "__key"), "index-near")[0]
     if index is None:
         store.drop(spark, of.uri)
     hits = phrase_matches(candidates, docs, id_col, text_col)
@@ -144,12 +160,16 @@ def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
     count = F.coalesce(F.regexp_count(F.col(text_col), F.lit(_WORD_ANY_CASE)), F.lit(0)).cast("bigint")
     source = docs.select(F.col(id_col), *(F.col(c) for c in keep), count.alias("__n_words"), row_key(F.col(id_col), F.col(text_col)).alias("__key"))
     found = _bounded(found.select(F.col("key").alias("__key"), F.col("n_hit").alias("__n_hit"), F.col("items").alias("__items")), 64 + F.expr("aggregate(__items, 0, (n, i) -> n + 16 + length(i))"))
-    return source.join(found, "__key", "left").select(
+    joined = source.join(found, "__key", "left")
+    if close is not None:
+        joined = joined.join(_bounded(close, 48), "__key", "left")
+    return joined.select(
         id_col,
         *keep,
         F.col("__n_words").alias("n_words"),
         F.coalesce("__n_hit", F.lit(0)).cast("bigint").alias("n_hit"),
         F.coalesce("__items", F.array().cast("array<string>")).alias("items"),
+        *([] if close is None else [F.coalesce("n_near", F.lit(0)).alias("n_near")]),
     )
 
 

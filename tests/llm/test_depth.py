@@ -5,6 +5,7 @@ import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -100,6 +101,25 @@ def test_two_benchmarks_share_an_index(spark):
     store.drop(spark, index.uri)
 
 
+@pytest.mark.parametrize("slack", [0, 2])
+def test_windows_nearby(spark, slack):
+    draw = random.Random(slack)
+    texts = [" ".join(f"t{draw.randrange(25)}" for _ in range(draw.randrange(1, 60))) for _ in range(40)]
+    items = [(i, " ".join(texts[i].split()[1:16])) for i in range(8)] + [(9, "t1"), (10, "t2 nowhere")]
+    found = by_id(decontaminate.find_contamination(spark.createDataFrame(rows_of(texts), SCHEMA), spark.createDataFrame(items, "item_id bigint, text string"), near=slack))
+    count = Counter(w for t in texts for w in t.split())
+    windows = {tuple(w[s : s + 13]) for _, t in items for w in [t.split()] if w for s in range(max(1, len(w) - 12))}
+    for i, text in enumerate(texts):
+        near = 0
+        for win in windows:
+            rare = sorted((count[w], off, w) for off, w in enumerate(win))[:2]
+            if not rare[0][0]:
+                continue
+            starts = [[p - off for p, w in enumerate(text.split()) if w == word and p >= off] for _, off, word in rare]
+            near += bool(starts[0]) if len(starts) == 1 else any(abs(a - b) <= slack for a in starts[0] for b in starts[1])
+        assert found[i]["n_near"] == near, i
+
+
 def test_a_long_text_full_of_matches(spark):
     words = [f"x{i}" for i in range(12_000)]
     items = spark.createDataFrame([(i, " ".join(words[i * 40 : i * 40 + 60])) for i in range(300)], "item_id bigint, text string")
