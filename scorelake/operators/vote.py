@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import json
 from collections import Counter
 from collections.abc import Sequence
 from decimal import Decimal, InvalidOperation
+from difflib import SequenceMatcher
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .align import MISMATCH, UNMATCHED, assign
+
 
 def plurality(df: DataFrame, keys: Sequence[str], value: str, order: str) -> DataFrame:
     """The most frequent value of each key; the one seen first breaks ties.  Two partial aggregations."""
@@ -77,3 +83,95 @@ def vote_by_key(tables: Sequence[Sequence[dict]], keys: Sequence[str], tolerance
             rows.setdefault(key, []).append(row)
     kept = [group for group in rows.values() if len(group) >= len(tables) // 2 + 1]
     return [{c: group[0].get(c) if c in keys else vote_cell([r.get(c) for r in group], tolerance) for c in dict.fromkeys(c for r in group for c in r)} for group in kept]
+
+
+# Costs of two different names with one surname: one's words are all in the other's, the
+# first letters are equal, one is the surname alone; and the least ratio at which other names are close.
+NAME_PART, NAME_INITIAL, NAME_ALONE, NAME_CLOSE = 0.2, 0.25, 0.35, 0.95
+
+
+def _key_words(value: object) -> tuple[str, ...]:
+    return tuple("".join(c if c.isalnum() else " " for c in str(value).lower()).split())
+
+
+def key_cell_cost(a: object, b: object) -> float:
+    """Distance of two key cells from 0 (equal) to 1: numbers and missing cells are equal or not, names may
+    share a surname or be close in spelling."""
+    x, y = canonical_cell(a), canonical_cell(b)
+    if x is None or y is None or _is_number(x) or _is_number(y):
+        return float(x != y)
+    v, w = _key_words(x), _key_words(y)
+    if v == w:
+        return 0.0
+    if v and w and v[-1] == w[-1]:
+        if set(v) <= set(w) or set(w) <= set(v):
+            return NAME_PART
+        if v[0][0] == w[0][0]:
+            return NAME_INITIAL
+        if len(v) == 1 or len(w) == 1:
+            return NAME_ALONE
+    ratio = SequenceMatcher(None, " ".join(v), " ".join(w)).ratio()
+    return 1 - ratio if ratio >= NAME_CLOSE else 1.0
+
+
+def _is_number(cell: object) -> bool:
+    try:
+        return Decimal(str(cell)).is_finite()
+    except InvalidOperation:
+        return False
+
+
+def cluster_rows(tables: Sequence[Sequence[dict]], keys: Sequence[str]) -> list[list[dict]]:
+    """Rows of several tables that are about the same thing: each table's rows are matched at least cost to
+    the clusters so far, those that match none begin their own.
+
+    A row that has only a surname joins no cluster of another name if several clusters share it."""
+    clusters: list[list[dict]] = []
+    for table in tables:
+        size = max(len(table), len(clusters))
+        cost = np.full((size, size), UNMATCHED)
+        shared = [Counter(w[-1] for c in clusters if (w := _words_of(c[0].get(k)))) for k in keys]
+        for i, row in enumerate(table):
+            for j, cluster in enumerate(clusters):
+                apart = min(sum(key_cell_cost(row.get(k), member.get(k)) for k in keys) / max(1, len(keys)) for member in cluster)
+                unclear = any(len(own := _words_of(row.get(k))) == 1 and (known := _words_of(cluster[0].get(k))) and known != own and known[-1] == own[-1] and shared[n][own[-1]] > 1 for n, k in enumerate(keys))
+                cost[i, j] = apart if apart < 1 and not unclear else MISMATCH
+        matched = {i: j for i, j in assign(cost) if i < len(table) and j < len(clusters) and cost[i, j] < UNMATCHED}
+        for i, row in enumerate(table):
+            if i in matched:
+                clusters[matched[i]].append(row)
+            else:
+                clusters.append([row])
+    return clusters
+
+
+def _words_of(value: object) -> tuple[str, ...]:
+    cell = canonical_cell(value)
+    return () if cell is None or _is_number(cell) else _key_words(cell)
+
+
+def vote_by_similar_key(tables: Sequence[Sequence[dict]], keys: Sequence[str], tolerance: float = 0.0) -> list[dict]:
+    """Rows that more than half of the tables have, matched by similar keys, every cell voted."""
+    need = len(tables) // 2 + 1
+    return [{c: vote_cell([r.get(c) for r in rows], tolerance) for c in dict.fromkeys(c for r in rows for c in r)} for rows in cluster_rows(tables, keys) if len(rows) >= need]
+
+
+def vote_records(votes: DataFrame, tolerance: float = 0.0) -> DataFrame:
+    """``record_id`` and the voted ``rows`` (JSON objects) of ``votes``: record_id, vote, keys (array) and rows (JSON text
+    of a list of objects).  A record's votes, a handful, meet in one task."""
+    kind = votes.schema["record_id"].dataType.simpleString()
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        ordered = pdf.sort_values("vote")
+        tables = [json.loads(r) for r in ordered["rows"]]
+        keys = list(ordered["keys"].iloc[0])
+        made = vote_by_similar_key(tables, keys, tolerance) if keys else vote_by_position_of(tables, tolerance)
+        return pd.DataFrame({"record_id": [pdf["record_id"].iloc[0]], "rows": [json.dumps(made, ensure_ascii=False)]})
+
+    return votes.groupBy("record_id").applyInPandas(run, f"record_id {kind}, rows string")
+
+
+def vote_by_position_of(tables: Sequence[Sequence[dict]], tolerance: float = 0.0) -> list[dict]:
+    """``vote_by_position`` over tables of objects, with the columns of the first that has any."""
+    names = next((list(t[0]) for t in tables if t), [])
+    return [dict(zip(names, row, strict=True)) for row in vote_by_position([[[r.get(n) for n in names] for r in t] for t in tables], tolerance)]

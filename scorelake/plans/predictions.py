@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import session
 from ..functions import repair, text
-from ..operators import align, attempts, evidence, sessions, strata, tables
+from ..operators import align, attempts, evidence, sessions, strata, tables, vote
 from ..sources import writers
 from . import trace
 from .catalog import Tables, query
@@ -322,3 +322,13 @@ def chosen_attempts(t: Tables) -> DataFrame:
     results = t.events.groupBy("user_id").agg(listed.alias("attempts")).withColumn("chosen_attempt", F.col("user_id") % 3)
     one = attempts.chosen(results, by_place=True).select("*", F.col("chosen.event_id").alias("by_place")).drop("chosen")
     return attempts.chosen(one).select("user_id", "by_place", F.col("chosen.event_id").alias("by_number"))
+
+
+@query("SELECT event_id // 10 AS record_id, event_id AS k, value AS v FROM events WHERE event_id % 4 <> 0")
+def voted_tables(t: Tables) -> DataFrame:
+    """Three votes a record: rows that two have, and the value that two gave."""
+    e = t.events.select(F.floor(F.col("event_id") / 10).alias("record_id"), F.col("event_id").alias("k"), F.col("value").alias("v"), F.explode(F.array(*map(F.lit, range(3)))).alias("vote"))
+    said = e.filter("k % 4 <> 0 OR vote = 2").withColumn("v", F.when((F.col("vote") == 1) & (F.col("k") % 2 == 1), F.col("v") + 5).otherwise(F.col("v")))
+    votes = said.groupBy("record_id", "vote").agg(F.to_json(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("rows")).withColumn("keys", F.array(F.lit("k")))
+    made = vote.vote_records(votes).select("record_id", F.explode(F.from_json("rows", "array<struct<k: bigint, v: double>>")).alias("r"))
+    return made.select("record_id", "r.k", "r.v")

@@ -3,7 +3,7 @@
 import random
 
 import numpy as np
-from scorelake.operators import resample
+from scorelake.operators import resample, vote
 from scorelake.plans import params, validate
 
 
@@ -41,3 +41,15 @@ def test_buckets_and_strata():
     assert resample.bootstrap_ci(values, 200, strata=strata) == (0.5, 0.5)
     low, high = resample.bootstrap_ci(values, 200)
     assert low < 0.5 < high and np.isnan(resample.bootstrap_ci([], 10, strata=[])[0])
+
+
+def test_votes_by_similar_names():
+    tables = [
+        [{"name": "V. Kohli", "runs": 10}, {"name": "Rohit Sharma", "runs": 4}, {"name": "Ishant Sharma", "runs": 1}],
+        [{"name": "Virat Kohli", "runs": 10}, {"name": "R Sharma", "runs": 4}, {"name": "Sharma", "runs": 9}],
+        [{"name": "Kohli", "runs": 11}, {"name": "Rohit Sharma", "runs": "4.0"}, {"name": "Other", "runs": 2}],
+    ]
+    clusters = vote.cluster_rows(tables, ["name"])
+    assert [[r["name"] for r in c] for c in clusters] == [["V. Kohli", "Virat Kohli", "Kohli"], ["Rohit Sharma", "R Sharma", "Rohit Sharma"], ["Ishant Sharma"], ["Sharma"], ["Other"]]
+    assert [(r["name"], r["runs"]) for r in vote.vote_by_similar_key(tables, ["name"])] == [("V. Kohli", 10), ("Rohit Sharma", 4)]
+    assert vote.key_cell_cost(3, "3.0") == 0 and vote.key_cell_cost("3", "4") == 1 and vote.key_cell_cost(None, None) == 0
