@@ -12,9 +12,11 @@ def finite(value: Column) -> Column:
     return F.when(~F.isnan(v) & (F.abs(v) != F.lit(float("inf"))), v)
 
 
-def to_float(value: Column) -> Column:
-    """Number in a string cell; null for blanks, text, NaN and infinities."""
-    return finite(F.trim(value.cast("string")).try_cast("double"))
+def to_float(value: Column, compat: bool = False) -> Column:
+    """Number in a string cell; null for blanks, text, NaN and infinities.  With ``compat`` true is 1 and false 0."""
+    text = F.trim(value.cast("string"))
+    number = finite(text.try_cast("double"))
+    return F.when(text == "true", 1.0).when(text == "false", 0.0).otherwise(number) if compat else number
 
 
 def rounded(value: Column, digits: int) -> Column:

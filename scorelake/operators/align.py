@@ -100,13 +100,19 @@ def align_rows(gold: dict, pred: dict, keys: Sequence[str] | None) -> list[tuple
     return [(i, j) for i, j in assign(cost) if i < len(gk) and j < len(pk) and cost[i, j] < UNMATCHED]
 
 
-def compare(gold: dict, pred: dict, keys: Sequence[str] | None = None, tolerance: float = 0.2) -> dict[str, object]:
-    """All metrics of one pair of tables; nulls count as zero where numbers are compared."""
+def compare(gold: dict, pred: dict, keys: Sequence[str] | None = None, tolerance: float = 0.2, compat: bool = False) -> dict[str, object]:
+    """All metrics of one pair of tables; nulls count as zero where numbers are compared.
+
+    With ``compat`` predicted cells are read by place among the common columns, as stored scores have it: a
+    table with other or permuted columns gives the wrong cells."""
     keys = [k for k in keys or [] if k != "N/A"] or None
     if keys and any(k not in (gold.get("columns") or []) for k in keys):
         keys = None
     g, p = _records(gold), _records(pred)
     pairs = align_rows(gold, pred, keys)
+    if compat:
+        both = [c for c in gold.get("columns") or [] if c in (pred.get("columns") or [])]
+        p = _records({"columns": both, "rows": pred.get("rows")})
     common = [c for c in gold.get("columns") or [] if c in (pred.get("columns") or []) and c not in (keys or [])]
     out: dict[str, object] = {**exact_match(gold, pred, nulls_as_zero=True), "pairs": len(pairs), "gold_rows": len(g), "pred_rows": len(p)}
     if keys:

@@ -104,6 +104,28 @@ def seen_before(df: DataFrame, fingerprint: str, registry: DataFrame) -> DataFra
     return df.join(registry.select(fingerprint).distinct(), fingerprint, "left_anti")
 
 
+class Registry:
+    """Statements and descriptions admitted so far, by canonical text; for a generator's loop on the driver."""
+
+    def __init__(self, compat: bool = False) -> None:
+        self.compat = compat
+        self.statements: set[str] = set()
+        self.descriptions: set[str] = set()
+
+    def add(self, sql: str, description: str = "") -> bool:
+        """Whether both are new; then they are taken.  With ``compat`` a statement whose description is known is
+        taken all the same, so it can't come again with another."""
+        statement, words = (" ".join((s or "").lower().split()) for s in (sql, description))
+        known = bool(words) and words in self.descriptions
+        if not statement or statement in self.statements or known and not self.compat:
+            return False
+        self.statements.add(statement)
+        if known:
+            return False
+        self.descriptions.add(words)
+        return True
+
+
 def latest_distinct(df: DataFrame, canonical: str, order: str, n: int) -> DataFrame:
     """The ``n`` distinct canonical texts seen last, in their original order."""
     last = df.groupBy(canonical).agg(F.max(order).alias("at"))

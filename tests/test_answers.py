@@ -3,7 +3,9 @@
 import random
 
 import numpy as np
-from scorelake.operators import resample, vote
+from pyspark.sql import functions as F
+from scorelake.functions import cells
+from scorelake.operators import align, resample, sessions, signature, vote
 from scorelake.plans import params, validate
 
 
@@ -53,3 +55,17 @@ def test_votes_by_similar_names():
     assert [[r["name"] for r in c] for c in clusters] == [["V. Kohli", "Virat Kohli", "Kohli"], ["Rohit Sharma", "R Sharma", "Rohit Sharma"], ["Ishant Sharma"], ["Sharma"], ["Other"]]
     assert [(r["name"], r["runs"]) for r in vote.vote_by_similar_key(tables, ["name"])] == [("V. Kohli", 10), ("Rohit Sharma", 4)]
     assert vote.key_cell_cost(3, "3.0") == 0 and vote.key_cell_cost("3", "4") == 1 and vote.key_cell_cost(None, None) == 0
+
+
+def test_compatible_results(spark):
+    gold, pred = {"columns": ["a", "b"], "rows": [[1, 2]]}, {"columns": ["x", "b", "a"], "rows": [[7, 2, 1]]}
+    assert align.compare(gold, pred)["correct_cells"] == 2 and align.compare(gold, pred, compat=True)["correct_cells"] == 1
+    assert len(validate.answer_of(spark.range(9), 4, compat=True)["rows"]) == 4
+    log = spark.createDataFrame([("place_order", "c", "p", 2.0, 3.0), ("confirm_payment", "c", None, None, 6.0)], "op string, customer_id string, product_id string, qty double, unit_price double").selectExpr("*", "cast(null as double) old_qty", "cast(null as double) new_qty")
+    made = sessions.signed(log)
+    assert [sessions.by_customer(made, compat=c).first()["revenue"] for c in (True, False)] == [12.0, 6.0]
+    assert spark.range(1).select(cells.to_float(F.lit(True)).alias("a"), cells.to_float(F.lit(True), compat=True).alias("b")).first() == (None, 1.0)
+    for compat, again in ((False, True), (True, False)):
+        known = signature.Registry(compat)
+        assert known.add("SELECT 1", "one") and not known.add("select  1", "two") and not known.add("SELECT 2", "One")
+        assert known.add("SELECT 2", "other") == again
