@@ -12,8 +12,10 @@ tie on text and label are interchangeable; other columns are ignored; the score
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -111,15 +113,20 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "quality",
                 yield pa.RecordBatch.from_arrays([batch.column(0)[first:end], batch.column(1)[first:end], *packed], ["ord", "label", "places", "vals"])
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        examples, held = [], 0
+        def first(rows: list[tuple]) -> list[tuple]:
+            """Rows in order, as far as their features are within the bound."""
+            rows = sorted(rows)
+            sizes = accumulate(len(places) + len(values) for *_, places, values in rows)
+            return rows[: bisect.bisect_right(list(sizes), most_bytes)]
+
+        rows, held = [], 0
         for batch in batches:
-            for label, places, values in zip(*(batch.column(i) for i in (1, 2, 3)), strict=True):
-                held += len(places.as_buffer()) + len(values.as_buffer())
-                if held > most_bytes:
-                    break
-                examples.append((np.frombuffer(places.as_py(), "<i4"), np.frombuffer(values.as_py(), "<f4"), label.as_py()))
-            if held > most_bytes:
-                break
+            rows += zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True)
+            held += batch.nbytes
+            if held > 1.25 * most_bytes:
+                rows, held = first(rows), most_bytes
+        examples = [(np.frombuffer(places, "<i4"), np.frombuffer(values, "<f4"), label) for _, label, places, values in first(rows)]
+        rows.clear()
         model = FtrlModel()
         for _ in range(epochs or min(MOST_EPOCHS, max(LEAST_EPOCHS, UPDATES // max(1, len(examples))))):
             for places, values, label in examples:
@@ -127,7 +134,7 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "quality",
         yield pa.RecordBatch.from_arrays([pa.array([model.weights().astype("<f8").tobytes()], pa.binary())], ["weights"])
 
     made, uri = store.write_table(chosen.mapInArrow(make, "ord string, label int, places binary, vals binary"), "quality-features")
-    found = made.coalesce(1).sortWithinPartitions("ord", "label", "places").mapInArrow(train, "weights binary").collect()
+    found = made.coalesce(1).mapInArrow(train, "weights binary").collect()
     store.drop(spark, uri)
     return np.frombuffer(found[0].weights, "<f8") if found else FtrlModel().weights()
 
