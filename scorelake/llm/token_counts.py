@@ -83,4 +83,6 @@ def count_tokens(docs: DataFrame, cache_uri: str, tokenizer: str = "byte_bpe_50k
     store.drop(spark, skip_uri)
     # repeated input rows or two runs at once may have appended a content twice; the count is the same
     counts = read_cache(spark, cache_uri).filter(F.col("tokenizer_digest") == version).groupBy("content_digest").agg(F.min("n_tokens").alias("n_tokens"))
+    # written, so that the join's own exchange stands between them and a hot digest can be split
+    counts, _ = store.write_table(counts, "token-counts")
     return narrow.drop("__row").join(counts, "content_digest").select(id_col, "n_bytes", "n_tokens", "content_digest")
