@@ -337,6 +337,7 @@ def _links(prefixes: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     spark = prefixes.sparkSession
     matching = _matching(percent)
     found, labels = None, None
+    links, old = [], []  # tables that end with the last round, and with the next
     rows = prefixes.withColumn("comp", F.col("node"))
     for number in range(ROUNDS + 1):
         if labels is not None:
@@ -365,12 +366,14 @@ def _links(prefixes: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
             pairs = pairs.withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= VERIFIED).select("a", "b")
             pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         pairs, pairs_uri = store.write_table(pairs, "jaccard-pairs")
-        good, _ = store.write_table(_verified(pairs, texts, size, percent), "jaccard-links")
+        good, good_uri = store.write_table(_verified(pairs, texts, size, percent), "jaccard-links")
         found = good if found is None else found.union(good)
-        labels, _ = store.write_table(components.connected_components(found), "jaccard-labels")
-        store.drop(spark, open_uri, rows_uri, pairs_uri)
+        labels, labels_uri = store.write_table(components.connected_components(found), "jaccard-labels")
+        store.drop(spark, open_uri, rows_uri, pairs_uri, *old)
+        links, old = [*links, good_uri], [labels_uri]
         if listing:
             break
+    store.drop(spark, *links)
     return labels if labels is not None else spark.createDataFrame([], "node bigint, comp bigint")
 
 
