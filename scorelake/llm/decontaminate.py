@@ -34,7 +34,7 @@ RAREST = 2
 BROADCAST_BYTES = 48 << 20
 
 _SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_SEPARATORS_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -157,7 +157,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
     found, _ = store.write_table(hits.select("key", _covered(F.col("hits")).alias("n_hit")).join(owned, "key"), "index-found")
     store.drop(spark, cut_uri)
 
-    count = F.coalesce(F.regexp_count(F.col(text_col), F.lit(_WORD_ANY_CASE)), F.lit(0)).cast("bigint")
+    count = F.size(F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), _SEPARATORS_ANY_CASE), lambda x: x != "")).cast("bigint")
     source = docs.select(F.col(id_col), *(F.col(c) for c in keep), count.alias("__n_words"), row_key(F.col(id_col), F.col(text_col)).alias("__key"))
     found = _bounded(found.select(F.col("key").alias("__key"), F.col("n_hit").alias("__n_hit"), F.col("items").alias("__items")), 64 + F.expr("aggregate(__items, 0, (n, i) -> n + 16 + length(i))"))
     joined = source.join(found, "__key", "left")
