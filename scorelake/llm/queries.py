@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard, licences, media, quality, sharding, store, substring, token_counts, warc
+from . import bpe, decontaminate, fingerprints, jaccard, licences, media, quality, sharding, store, substring, token_counts, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -75,8 +75,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_with_next(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op2_quality_classifier, op3_jaccard_join, op4_license_scan, op5_warc, op6_media_columns, op7_sharding, op8_bpe, op9_substring_dedup, op10_token_counts)
+    f.__name__: f for f in (op1_decontamination, op2_quality_classifier, op3_jaccard_join, op4_license_scan, op5_warc, op6_media_columns, op7_sharding, op8_bpe, op9_substring_dedup, op10_token_counts, op11_fingerprints)
 }
 
 #: DuckDB list of the words of a text, as the decontamination contract has them.
