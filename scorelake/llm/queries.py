@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, fingerprints, jaccard, licences, media, quality, sharding, store, substring, token_counts, warc
+from . import bpe, clustering, decontaminate, fingerprints, jaccard, licences, media, quality, sharding, store, substring, token_counts, warc, whitening
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -79,8 +79,17 @@ def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_next(_table(spark, sf_dir, "documents"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(_table(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.col("deviation").cast("bigint"))
+
+
+def op13_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op2_quality_classifier, op3_jaccard_join, op4_license_scan, op5_warc, op6_media_columns, op7_sharding, op8_bpe, op9_substring_dedup, op10_token_counts, op11_fingerprints)
+    f.__name__: f for f in (op1_decontamination, op2_quality_classifier, op3_jaccard_join, op4_license_scan, op5_warc, op6_media_columns, op7_sharding, op8_bpe, op9_substring_dedup, op10_token_counts, op11_fingerprints, op12_whitening, op13_clustering)
 }
 
 #: DuckDB list of the words of a text, as the decontamination contract has them.
@@ -118,6 +127,24 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) A
 FROM d LEFT JOIN kept USING (doc_id)""",
 }
 
+#: One round: every vector's nearest centroid (the first of several), then whole means, rounded down.
+_SQL_ROUND = r"""
+p{r} AS MATERIALIZED (SELECT vec_id, q, arg_min({{'k': k, 'd': d}}, {{'d': d, 'k': k}}) AS a
+  FROM (SELECT vec_id, q, k, CAST(list_sum(list_transform(range(1, 65), lambda i: (q[i] - m[i]) * (q[i] - m[i]))) AS BIGINT) AS d FROM v, c{r}) GROUP BY vec_id, q),
+c{s} AS MATERIALIZED (SELECT c.k, coalesce(g.m, c.m) AS m FROM c{r} c LEFT JOIN (
+  SELECT k, list((t - ((t % n) + n) % n) // n ORDER BY i) AS m FROM (SELECT k, i, CAST(sum(x) AS BIGINT) AS t, count(*) AS n
+    FROM (SELECT a.k AS k, unnest(range(1, 65)) AS i, unnest(q) AS x FROM p{r}) GROUP BY k, i) GROUP BY k) g ON g.k = c.k)"""
+ORACLE["op13_clustering"] = (
+    r"""
+WITH v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda c: CAST(floor(64 * CAST(c AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS k, q AS m FROM (SELECT sha256('1:' || CAST(vec_id AS VARCHAR)) AS h, q FROM v ORDER BY h LIMIT 16)),"""
+    + ",".join(_SQL_ROUND.format(r=r, s=r + 1) for r in range(4))
+    + r"""
+SELECT vec_id, CAST(a.k AS INTEGER) AS cluster, CAST(a.d AS BIGINT) AS distance, CAST(sum(a.d) OVER (PARTITION BY a.k) AS BIGINT) AS cluster_inertia,
+  CAST(sum(a.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM p3 JOIN c3 ON c3.k = a.k"""
+)
 
 _KNOWN = ", ".join(f"('{k}', '{v}')" for k, v in licences.SENTENCES.items())
 _NAMES = ", ".join(f"CASE WHEN regexp_matches(ids, '{rule}') THEN '{name}' END" for name, rule in sorted(licences.RULES))
