@@ -65,7 +65,7 @@ def cover_tree(points: np.ndarray, leaf: int) -> Tree:
     squares = np.square(real).sum(axis=1)
     exact = len(points) > 0 and squares.max() < 2.0**51
     order = np.arange(len(points))
-    start, end, radius, child, children = [0], [len(points)], [0.0], [0], [0]
+    start, end, radius, child, children = ([0], [len(points)], [0.0], [0], [0]) if len(points) else ([], [], [], [], [])
     node = 0
     while node < len(start):
         lo, hi = start[node], end[node]

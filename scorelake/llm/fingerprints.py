@@ -18,6 +18,8 @@ meet in one task, as ids are keys of documents.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,16 +50,27 @@ def _last(words: Column) -> Column:
     return F.greatest(F.size(words) - SHINGLE, F.lit(0))
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used and wherever the optimizer moves
+    the expression: inside functions of array elements it would else be computed for every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _low(words: Column) -> Column:
-    """Places and hashes (``p``, ``h``) of the shingles below the fraction, in order; ``words`` is a plain column."""
-    at = lambda s: F.transform(F.sequence(s, F.least(s + CHUNK - 1, _last(words))), lambda i: F.struct(i.alias("p"), _hash_at(words, i).alias("h")))
-    low = F.flatten(F.transform(F.sequence(F.lit(0), _last(words), F.lit(CHUNK)), lambda s: F.filter(at(s), lambda x: x["h"] < LIMIT)))
-    return F.when(F.size(words) > 0, low).otherwise(F.array().cast("array<struct<p:int,h:bigint>>"))
+    """Places and hashes (``p``, ``h``) of the shingles below the fraction, in order."""
+
+    def of(w: Column) -> Column:
+        at = lambda s: F.transform(F.sequence(s, F.least(s + CHUNK - 1, _last(w))), lambda i: F.struct(i.alias("p"), _hash_at(w, i).alias("h")))
+        low = F.flatten(F.transform(F.sequence(F.lit(0), _last(w), F.lit(CHUNK)), lambda s: F.filter(at(s), lambda x: x["h"] < LIMIT)))
+        return F.when(F.size(w) > 0, low).otherwise(F.array().cast("array<struct<p:int,h:bigint>>"))
+
+    return _let(words, of)
 
 
 def _least(words: Column) -> Column:
     """The smallest hash alone; nothing without words."""
-    return F.when(F.size(words) > 0, F.array(F.array_min(F.transform(F.sequence(F.lit(0), _last(words)), lambda i: _hash_at(words, i))))).otherwise(F.array().cast("array<bigint>"))
+    least = lambda w: F.array(F.array_min(F.transform(F.sequence(F.lit(0), _last(w)), lambda i: _hash_at(w, i))))
+    return _let(words, lambda w: F.when(F.size(w) > 0, least(w)).otherwise(F.array().cast("array<bigint>")))
 
 
 def _hashes(low: Column) -> Column:
@@ -65,13 +78,12 @@ def _hashes(low: Column) -> Column:
 
 
 def _sketch(hashes: Column, words: Column) -> Column:
-    return F.when(F.size(hashes) > 0, F.sort_array(F.array_distinct(hashes))).otherwise(_least(words))
+    return _let(hashes, lambda h: F.when(F.size(h) > 0, F.sort_array(F.array_distinct(h))).otherwise(_least(words)))
 
 
-def with_sketch(df: DataFrame, text: str, sketch: str) -> DataFrame:
-    """``df`` and the sketch of its column ``text``: ascending distinct hashes."""
-    kept = df.withColumn("__words", words(F.col(text))).withColumn("__low", _hashes(_low(F.col("__words"))))
-    return kept.withColumn(sketch, _sketch(F.col("__low"), F.col("__words"))).drop("__words", "__low")
+def sketch(text: Column) -> Column:
+    """The sketch of a text: ascending distinct hashes."""
+    return _let(words(text), lambda w: _sketch(_hashes(_low(w)), w))
 
 
 def fingerprint(sketch: Column) -> Column:
@@ -93,8 +105,8 @@ def containment(one: Column, other: Column) -> Column:
 
 def sketch_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ``sketch`` and ``fingerprint`` of every row."""
-    made = with_sketch(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")), "__text", "sketch")
-    return made.select(F.col("__id").alias(id_col), "sketch", fingerprint(F.col("sketch")).alias("fingerprint"))
+    made = docs.select(F.col(id_col).alias("id"), sketch(F.col(text_col)).alias("sketch"))
+    return made.select(F.col("id").alias(id_col), "sketch", fingerprint(F.col("sketch")).alias("fingerprint"))
 
 
 def merge(sketches: DataFrame) -> DataFrame:
@@ -193,8 +205,8 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     new = pairs.withColumn("new", F.expr("substring(next_text, 1, n_chars div 3)")).withColumn("new_words", words(F.col("new"))).withColumn("n_new", F.size("new_words"))
     seam = new.withColumns({"seam": _joined(F.col("tail"), F.slice("new_words", 1, SHINGLE), _glued(F.col("kept"), F.col("new"))), "end": F.slice("new_words", F.greatest(F.col("n_new") - SHINGLE + 1, F.lit(1)), F.lit(SHINGLE))})
     stay = F.filter("low", lambda x: x["p"] < F.col("n_kept") - SHINGLE)
-    come = F.filter("next_low", lambda x: (x["p"] > 0) & (x["p"] < F.col("n_new") - SHINGLE))
-    end = F.when((F.col("n_new") > SHINGLE) & (_hash_at(F.col("end"), F.lit(0)) < LIMIT), F.array(_hash_at(F.col("end"), F.lit(0)))).otherwise(F.array().cast("array<bigint>"))
+    come = _let(F.col("n_new"), lambda n: F.filter("next_low", lambda x: (x["p"] > 0) & (x["p"] < n - SHINGLE)))
+    end = _let(F.col("end"), lambda w: F.when(F.size("new_words") > SHINGLE, F.filter(F.array(_hash_at(w, F.lit(0))), lambda h: h < LIMIT)).otherwise(F.array().cast("array<bigint>")))
     low = F.concat(_hashes(stay), _hashes(come), _hashes(_low(F.col("seam"))), end)
     edited = seam.withColumns({"edited": F.concat("kept", "new"), "edited_low": low})
     edited = edited.withColumn("edited_words", F.when(F.size("edited_low") == 0, words(F.col("edited")))).withColumn("edited_sketch", _sketch(F.col("edited_low"), F.col("edited_words")))
