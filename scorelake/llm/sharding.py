@@ -2,7 +2,8 @@
 
 Equal texts form a group, groups are ordered by content digest, and each shard takes a contiguous
 run of groups.  The shard capacity is the smallest for which a greedy fill needs no more than the
-given number of shards, found by binary search.
+given number of shards, found by binary search.  A group larger than the mean shard has one to itself, and
+the groups on either side of it are partitioned in the same way among the other shards.
 
 The driver never holds all groups.  It works on blocks of the digest order (sum and largest group of
 each): a fill that may cut anywhere in a block and one that may not cut in it bound both the
@@ -10,9 +11,8 @@ capacity and each cut, and only blocks in which a cut can still fall are split i
 they are single groups.
 
 Defined cases: null text is a group with the empty text (0 bytes, size 1); repeated rows and null
-ids are rows like others, ordered by id with nulls first; an empty table gives an empty result; a
-group larger than the mean makes the capacity its own size, and later shards may be empty; other
-columns are ignored.
+ids are rows like others, ordered by id with nulls first; an empty table gives an empty result; shards
+stay empty only where there are fewer groups to part; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -90,8 +90,56 @@ def _open_blocks(blocks: list[Block], shards: int) -> list[int]:
     return sorted(i for i in found if blocks[i].groups > 1)
 
 
+def _one_capacity(blocks: list[Block], shards: int) -> tuple[int, list[int], set[int]]:
+    """``_solve`` with one capacity for all shards."""
+    sizes = [b.total for b in blocks]
+    capacity, sums = smallest_capacity(sizes, shards), [0]
+    for s in sizes:
+        sums.append(sums[-1] + s)
+    return capacity, (fill(sums, capacity, shards) or [])[:-1], set(_open_blocks(blocks, shards))
+
+
+def _solve(blocks: list[Block], shards: int) -> tuple[int, list[int], set[int]]:
+    """Largest shard, the indices at which shards but the first start, and the blocks that must be split into
+    finer ones before these are certain.
+
+    A group larger than the mean of the shards that are left binds the capacity, which says nothing about the
+    rest: it gets a shard of its own.  The runs between such groups share the other shards, the next always
+    going to the run of the largest mean, and each run has its own least capacity.  Where there are too few
+    shards for that, or the largest shard would grow, one capacity is used for all."""
+    if not blocks:
+        return 0, [], set()
+    hot: list[int] = []
+    for i in sorted(range(len(blocks)), key=lambda i: -blocks[i].largest):
+        left = sum(b.total for b in blocks) - sum(blocks[h].largest for h in hot)
+        if len(hot) + 1 >= shards or blocks[i].largest * (shards - len(hot)) <= left:
+            break
+        hot.append(i)
+    plain = _one_capacity(blocks, shards)
+    if not hot:
+        return plain
+    if coarse := {i for i in hot if blocks[i].groups > 1}:
+        return plain[0], plain[1], coarse
+    hot.sort()
+    runs = [(a, b) for a, b in zip([0, *(h + 1 for h in hot)], [*hot, len(blocks)], strict=True) if a < b]
+    totals = [sum(b.total for b in blocks[a:b]) for a, b in runs]
+    given = [1] * len(runs)
+    if len(hot) + len(runs) > shards:
+        return plain
+    while runs and len(hot) + sum(given) < shards:
+        given[max(range(len(runs)), key=lambda i: totals[i] / given[i])] += 1
+    solved = [_one_capacity(blocks[a:b], n) for (a, b), n in zip(runs, given, strict=True)]
+    biggest = max(blocks[h].total for h in hot)
+    largest = max([biggest, *(s[0] for s in solved)])
+    needed = {a + i for (a, _), s in zip(runs, solved, strict=True) for i in s[2]}
+    if not needed and largest > biggest and (plain[2] or largest > plain[0]):
+        return plain  # one capacity may be lower; that is certain once its blocks are fine
+    starts = set(hot) | {a for a, _ in runs} | {a + c for (a, _), s in zip(runs, solved, strict=True) for c in s[1]}
+    return largest, sorted(starts - {0}), needed
+
+
 def plan_cuts(groups: DataFrame, shards: int) -> tuple[int, list[str]]:
-    """Capacity and, for each shard but the first, the digest prefix at which it starts.
+    """Largest shard and, for each shard but the first, the digest prefix at which it starts.
 
     ``groups`` has one row a group: ``digest`` and ``size``.  The blocks collected depend on the
     number of shards, not on that of groups: a cut's range spans few blocks at every level.
@@ -102,18 +150,15 @@ def plan_cuts(groups: DataFrame, shards: int) -> tuple[int, list[str]]:
         return [Block(*r) for r in made.collect()]
 
     blocks = sorted(blocks_of(groups, FIRST_DIGITS), key=lambda b: b.prefix)
-    while open_ := _open_blocks(blocks, shards):
+    while open_ := _solve(blocks, shards)[2]:
         prefixes = {blocks[i].prefix for i in open_}
         finer = []
         for n in sorted({len(p) for p in prefixes}):
             own = [p for p in prefixes if len(p) == n]
             finer += blocks_of(groups.filter(F.substring("digest", 1, n).isin(own)), n + MORE_DIGITS)
         blocks = sorted([b for b in blocks if b.prefix not in prefixes] + finer, key=lambda b: b.prefix)
-    sizes = [b.total for b in blocks]
-    capacity, sums = smallest_capacity(sizes, shards), [0]
-    for s in sizes:
-        sums.append(sums[-1] + s)
-    return capacity, [blocks[c].prefix for c in (fill(sums, capacity, shards) or [])[:-1]]
+    largest, cuts, _ = _solve(blocks, shards)
+    return largest, [blocks[c].prefix for c in cuts]
 
 
 def shard_documents(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

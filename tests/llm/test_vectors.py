@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
-from scorelake.llm import clustering, fingerprints, queries, whitening
+from scorelake.llm import clustering, fingerprints, queries, sharding, whitening
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -232,3 +232,21 @@ def test_descent_prunes_node_pairs():
     tree = clustering.cover_tree(points, 16)
     whole, single, numbers, seen = clustering.assign(points[tree.order], tree, centroids, clustering.cover_tree(centroids, 1))
     assert seen < 1600 * 16 / 20 and sum(b - a for a, b, _ in whole) == 1600 and not len(single) and not len(numbers)
+
+
+# sharding around large groups
+
+
+@pytest.mark.parametrize("hot", [[], [60], [0], [119], [30, 90], [0, 119]])
+def test_large_groups_leave_the_other_shards_near_equal(spark, hot):
+    texts = sorted((f"text {i} " + "x" * (150 + i % 30) for i in range(120)), key=lambda t: hashlib.md5(t.encode()).hexdigest())
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1000 * (j + 1) + k, texts[i]) for j, i in enumerate(hot) for k in range(300)]
+    found = sharding.shard_documents(spark.createDataFrame(rows, "doc_id bigint, text string"), 16).toPandas()
+    loads = found.groupby("shard")["size"].sum()
+    groups = found.groupby("digest")["size"].sum()
+    assert len(loads) == 16 and len(found) == len(rows) and found.groupby("digest")["shard"].nunique().max() == 1
+    assert loads.max() == sharding.smallest_capacity(groups.sort_index().tolist(), 16)
+    others = loads.sort_values().iloc[: 16 - len(hot)]
+    assert others.max() <= 2 * others.min() and (not hot or others.max() < 3000)
+    for _, own in found.groupby("shard"):
+        assert sorted(own["slot"]) == list(range(len(own)))
