@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Iterator, Mapping, Sequence
 from difflib import SequenceMatcher
 
@@ -9,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import scratch_folder
+
 
 def ledger_line(place: str, entities: Sequence[str], attributes: Sequence[str], blank_is_none: Sequence[str] = ()) -> Column:
     """One base row as text: its place (``?`` without one), then ``name=value`` of entities that aren't blank
@@ -54,20 +58,82 @@ def question_similarity(a: object, b: object) -> float:
     return SequenceMatcher(None, x, y).ratio() if x and y else float(x == y)
 
 
-def best_template(records: DataFrame, templates: DataFrame, item: str = "item_id", idx: str = "idx") -> DataFrame:
-    """Each record (``record_id``, ``item``, ``question``) with the ``idx`` of the most similar template of its item,
-    the lowest of equals, and the similarity."""
-    pairs = records.select("record_id", item, F.col("question").alias("asked")).join(templates.select(item, idx, F.col("question").alias("known")), item)
+#: Letters counted one by one for the bound; all others count as one.
+LETTERS = " abcdefghijklmnopqrstuvwxyz0123456789"
+#: Ratios of lengths up to which templates are compared, round by round.
+LENGTH_RATIOS = (1.25, math.inf)
+
+
+def _profiled(df: DataFrame, question: str, *keys: str) -> DataFrame:
+    """``keys`` with the question as it is compared (``q``), its length and its letter counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [question_similarity(a, b) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64())], ["record_id", idx, "similarity"])
+            texts = [str(q or "").strip().lower() for q in batch.column(len(keys)).to_pylist()]
+            counts = [[c[x] for x in LETTERS] + [len(t) - sum(c[x] for x in LETTERS)] for t in texts for c in (Counter(t),)]
+            made = [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int32()), pa.array(counts, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keys))), *made], [*keys, "q", "n", "letters"])
+
+    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+    return df.select(*keys, question).mapInArrow(run, f"{kinds}, q string, n int, letters array<int>")
+
+
+def _ratios(pairs: DataFrame, kinds: str) -> DataFrame:
+    """``item``, ``asked`` and ``idx`` of ``pairs`` (these, and ``known``) with the similarity of both texts."""
 
-    kinds = [f"{n} {dict(df.dtypes)[n]}" for n, df in (("record_id", records), (idx, templates))]
-    scored = pairs.select("record_id", idx, "asked", "known").mapInArrow(run, f"{', '.join(kinds)}, similarity double")
-    best = scored.groupBy("record_id").agg(F.max(F.struct("similarity", (-F.col(idx)).alias("__i"))).alias("b"))
-    return best.select("record_id", (-F.col("b.__i")).alias(idx), "b.similarity")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [SequenceMatcher(None, a, b).ratio() for a, b in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(found, pa.float64())], ["item", "asked", "idx", "similarity"])
+
+    return pairs.select("item", "asked", "idx", "known").mapInArrow(run, f"{kinds}, similarity double")
+
+
+def best_template(records: DataFrame, templates: DataFrame, item: str = "item_id", idx: str = "idx", compared: list[int] | None = None) -> DataFrame:
+    """Each record (``record_id``, ``item``, ``question``) with the ``idx`` of the most similar template of its item,
+    the lowest of equals, and the similarity.  Records whose item has no template are left out.
+
+    Equal questions meet by equality.  The rest are compared with templates of ever more different lengths, as
+    long as these can still be as similar as the best so far, and only where the letters both texts have in
+    common allow it; ``compared`` gets the number of pairs compared in each round."""
+    spark = records.sparkSession
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        uri = scratch_folder(spark, name)
+        df.write.parquet(uri)
+        return spark.read.schema(df.schema).parquet(uri)
+
+    asks = written(_profiled(records, "question", "record_id", item).withColumnRenamed(item, "item"), "asked")
+    known = written(_profiled(templates, "question", item, idx).withColumnsRenamed({item: "item", idx: "idx", "q": "known", "n": "m", "letters": "counts"}), "known")
+    kinds = f"item {known.schema['item'].dataType.simpleString()}, asked string, idx {known.schema['idx'].dataType.simpleString()}"
+    firsts = known.groupBy("item").agg(F.min("idx").alias("first"))
+    equal = known.groupBy("item", F.col("known").alias("asked")).agg(F.min("idx").alias("equal"))
+    texts = asks.groupBy("item", F.col("q").alias("asked")).agg(F.first("n").alias("n"), F.first("letters").alias("letters"))
+    best = texts.join(firsts, "item").join(equal, ["item", "asked"], "left")
+    best = written(best.select("item", "asked", "n", "letters", F.when(F.col("equal").isNotNull(), 1.0).otherwise(0.0).alias("similarity"), F.coalesce("equal", "first").alias("idx")), "best")
+    most = 1.0  # what templates of the lengths still to come can reach
+    low = 1.0
+    for ratio in LENGTH_RATIOS:
+        open_ = best.filter((F.col("similarity") < 1) & (F.col("similarity") <= most) & (F.col("n") > 0)).withColumnsRenamed({"similarity": "sofar", "idx": "held"})
+        shorter, longer = F.least("n", "m"), F.greatest("n", "m")
+        near = (longer >= shorter * low if low > 1 else F.lit(True)) & (longer < shorter * ratio if ratio < math.inf else F.lit(True)) & (F.col("m") > 0)
+        if ratio < math.inf:  # lengths within a ratio lie in the same class or in neighbouring ones
+            place = lambda c: F.floor(F.log(F.greatest(F.col(c), F.lit(1))) / math.log(ratio)).cast("int")
+            met = open_.withColumn("class", F.explode(F.array(place("n") - 1, place("n"), place("n") + 1))).join(known.withColumn("class", place("m")), ["item", "class"])
+        else:
+            met = open_.join(known, "item")
+        common = F.aggregate(F.zip_with("letters", "counts", lambda a, b: F.least(a, b)), F.lit(0), lambda s, x: s + x)
+        bound = 2.0 * common / (F.col("n") + F.col("m"))
+        may = (bound > F.col("sofar")) | ((bound == F.col("sofar")) & (F.col("idx") < F.col("held")))
+        pairs = written(met.filter(near).filter(may).select("item", "asked", "idx", "known"), "pairs")
+        if compared is not None:
+            compared.append(pairs.count())
+        found = _ratios(pairs, kinds).groupBy("item", "asked").agg(F.max(F.struct("similarity", (-F.col("idx")).alias("i"))).alias("b"))
+        same = best.alias("o").join(found.alias("f"), (F.col("o.item").eqNullSafe(F.col("f.item"))) & (F.col("o.asked") == F.col("f.asked")), "left")
+        wins = F.coalesce((F.col("f.b.similarity") > F.col("o.similarity")) | ((F.col("f.b.similarity") == F.col("o.similarity")) & (-F.col("f.b.i") < F.col("o.idx"))), F.lit(False))
+        best = written(same.select("o.item", "o.asked", "o.n", "o.letters", F.when(wins, F.col("f.b.similarity")).otherwise(F.col("o.similarity")).alias("similarity"), F.when(wins, -F.col("f.b.i")).otherwise(F.col("o.idx")).alias("idx")), "best")
+        most, low = 2 / (1 + ratio), ratio
+    return asks.join(best.select("item", F.col("asked").alias("q"), "idx", "similarity"), ["item", "q"]).select("record_id", F.col("idx").alias(idx), "similarity")
 
 
 def shortest(df: DataFrame, text: str, keys: Sequence[str], n: int) -> DataFrame:

@@ -22,6 +22,10 @@ class Tables:
             raise AttributeError(name)
         return self.spark.read.parquet(f"{self._dir}/{name}.parquet")
 
+    def stream(self, name: str) -> DataFrame:
+        """A table as a stream of its files; the pattern lets a table be one file or a folder of them."""
+        return self.spark.readStream.schema(getattr(self, name).schema).parquet(f"{self._dir}/{name}.parque[t]")
+
 
 def query(sql: str | None) -> Callable[[Callable[[Tables], DataFrame]], Query]:
     """Register a function of the tables under its name, with its SQL if it has any."""

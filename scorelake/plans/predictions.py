@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from .. import session
 from ..functions import repair, text
 from ..operators import align, attempts, evidence, sessions, strata, tables, vote
+from ..session import scratch_folder
 from ..sources import writers
+from ..streaming import registry
 from . import trace
 from .catalog import Tables, query
 
@@ -240,6 +242,16 @@ def similar_templates(t: Tables) -> DataFrame:
     return evidence.best_template(records, templates)
 
 
+@query("""SELECT event_id, event_type, props AS fp, row_number() OVER (PARTITION BY event_type, props ORDER BY event_id) = 1 OR coalesce(props, '') = '' AS kept FROM events""")
+def streamed_registry(t: Tables) -> DataFrame:
+    """Events read as a stream, each kept unless its type has had its properties: bounded state, in shards."""
+    at, out = (scratch_folder(t.spark, n) for n in ("registry-state", "registry"))
+    stream = t.stream("events").select("event_type", "event_id", F.col("props").alias("fp"))
+    admitted = registry.admit(stream, ["event_type"], "fp", "event_id", capacity=1_000_000, shards=8)
+    admitted.writeStream.format("parquet").option("checkpointLocation", at).option("path", out).trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.parquet(out).select("event_id", "event_type", "fp", "kept")
+
+
 @query("SELECT doc_id, CAST(length(text) AS BIGINT) AS text_length FROM documents WHERE text IS NOT NULL ORDER BY text_length, doc_id LIMIT 5")
 def shortest_texts(t: Tables) -> DataFrame:
     return evidence.shortest(t.documents, "text", ["doc_id"], 5).select("doc_id", F.col("text_length").cast("bigint").alias("text_length"))
