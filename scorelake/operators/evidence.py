@@ -6,6 +6,8 @@ import math
 from collections import Counter
 from collections.abc import Iterator, Mapping, Sequence
 from difflib import SequenceMatcher
+from functools import reduce
+from operator import or_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -58,6 +60,54 @@ def question_similarity(a: object, b: object) -> float:
     return SequenceMatcher(None, x, y).ratio() if x and y else float(x == y)
 
 
+def evidence_statistics(lineage: DataFrame, base: DataFrame, key: str, place: str, sums: Sequence[str], counts: Mapping[str, Column], distinct: Sequence[str], name: str = "__out") -> DataFrame:
+    """One row for each result row that has lineage: ``name``, ``num_events``, ``first_place`` and ``last_place``, a
+    ``sum_`` of each of ``sums`` (nulls and text count as 0), how many base rows meet each of ``counts``, and a sorted
+    ``unique_`` array for each of ``distinct``.
+
+    Numbers come from one partial aggregation over the long lineage; names are made distinct before they are
+    gathered, so an array holds a result row's entities, not its rows."""
+    number = lambda c: F.expr(f"try_cast(`{c}` AS DOUBLE)")
+    rows = lineage.select(name, "row_id").distinct().join(base.withColumnRenamed(key, "row_id"), "row_id")
+    made = rows.groupBy(name).agg(
+        F.count(F.lit(1)).alias("num_events"), F.min(number(place)).alias("first_place"), F.max(number(place)).alias("last_place"),
+        *(F.sum(F.coalesce(number(c), F.lit(0.0))).alias(f"sum_{c}") for c in sums), *(F.sum(F.when(c, 1).otherwise(0)).alias(n) for n, c in counts.items()),
+    )
+    for c in distinct:
+        text = F.col(c).cast("string")
+        names = rows.filter(F.trim(text) != "").select(name, text.alias("t")).distinct().groupBy(name).agg(F.array_sort(F.collect_list("t")).alias(f"unique_{c}"))
+        made = made.join(names, name, "left").withColumn(f"unique_{c}", F.coalesce(f"unique_{c}", F.array().cast("array<string>")))
+    return made
+
+
+def relevant_columns(signals: Column, always: Column, tokens: Mapping[str, Sequence[str]], order: Sequence[str]) -> Column:
+    """Columns of ``order`` that a task concerns: those in the array ``always``, and those one of whose ``tokens`` stands in
+    the task's text ``signals``, cases aside."""
+    text = F.lower(F.coalesce(signals, F.lit("")))
+
+    def told(column: str) -> Column:
+        found = F.coalesce(F.array_contains(always, column), F.lit(False))
+        for token in tokens.get(column, ()):
+            found = found | F.contains(text, F.lit(token.lower()))
+        return F.when(found, F.lit(column))
+
+    return F.array_compact(F.array(*map(told, order)))
+
+
+def task_statistics(stats: DataFrame, signals: Column, relevant: Column, sums: Sequence[str], places: Sequence[str], counts: Mapping[str, tuple[Sequence[str], Sequence[str]]]) -> DataFrame:
+    """``stats`` cut down to what a task concerns; the rest is null.
+
+    A sum stays if its column is among the ``relevant``; the first and last place if one of the tokens ``places`` is in
+    ``signals``; a count if one of its columns is relevant and one of its tokens, if it has any, is in ``signals``."""
+    text = F.lower(F.coalesce(signals, F.lit("")))
+    any_of = lambda tests: reduce(or_, tests, F.lit(False))
+    has = lambda columns: any_of(F.array_contains(relevant, c) for c in columns)
+    asked = lambda tokens: any_of(F.contains(text, F.lit(t)) for t in tokens)
+    masks = {f"sum_{c}": has([c]) for c in sums} | {c: asked(places) for c in ("first_place", "last_place")}
+    masks |= {n: has(columns) & (asked(tokens) if tokens else F.lit(True)) for n, (columns, tokens) in counts.items()}
+    return stats.withColumns({n: F.when(m, F.col(n)) for n, m in masks.items()})
+
+
 #: Letters counted one by one for the bound; all others count as one.
 LETTERS = " abcdefghijklmnopqrstuvwxyz0123456789"
 #: Ratios of lengths up to which templates are compared, round by round.

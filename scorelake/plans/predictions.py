@@ -9,7 +9,7 @@ from .. import session
 from ..functions import repair, text
 from ..operators import align, attempts, evidence, sessions, strata, tables, vote
 from ..session import scratch_folder
-from ..sources import writers
+from ..sources import nodes, writers
 from ..streaming import registry
 from . import trace
 from .catalog import Tables, query
@@ -242,6 +242,49 @@ def similar_templates(t: Tables) -> DataFrame:
     return evidence.best_template(records, templates)
 
 
+_SPENT = "SELECT user_id, count(*) AS n FROM df WHERE value > 5 GROUP BY user_id HAVING count(*) > 1"
+_STATS = """SELECT user_id, count(*) AS num_events, min(event_id)::DOUBLE AS first_place, max(event_id)::DOUBLE AS last_place, round(sum(value), 6) AS sum_value, count(*) FILTER (event_type = 'purchase') AS purchases,
+count(*) FILTER (value > 50) AS large, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS kinds, count(DISTINCT props) AS n_props FROM events WHERE value > 5 GROUP BY user_id HAVING count(*) > 1"""
+
+
+def _statistics(t: Tables) -> DataFrame:
+    traced = trace.trace(t.events, "event_id", _SPENT)
+    base = t.events.withColumn("at", F.col("event_id"))
+    found = evidence.evidence_statistics(traced.lineage, base, "event_id", "at", ["value"], {"purchases": F.col("event_type") == "purchase", "large": F.col("value") > 50}, ["event_type", "props"])
+    return found.join(traced.result, "__out").withColumn("sum_value", F.round("sum_value", 6))
+
+
+@query(_STATS)
+def evidence_statistics(t: Tables) -> DataFrame:
+    """Statistics of the base rows behind each answer row, over the long lineage."""
+    named = _statistics(t).withColumn("kinds", F.array_join("unique_event_type", ",")).withColumn("n_props", F.size("unique_props").cast("bigint"))
+    return named.select("user_id", "num_events", "first_place", "last_place", "sum_value", "purchases", "large", "kinds", "n_props")
+
+
+_QUESTION = "CASE user_id % 4 WHEN 0 THEN 'How much did they SPEND?' WHEN 1 THEN 'How many purchases were made first?' WHEN 2 THEN 'Which large amounts came last?' END"
+
+
+@query(f"""SELECT user_id, num_events, CASE user_id % 4 WHEN 0 THEN 'event_id,value' WHEN 1 THEN 'event_id,event_type' WHEN 2 THEN 'event_id,value' ELSE 'event_id' END AS columns, CASE WHEN user_id % 4 IN (1, 2) THEN first_place END AS first_place,
+CASE WHEN user_id % 4 IN (1, 2) THEN last_place END AS last_place, CASE WHEN user_id % 4 IN (0, 2) THEN sum_value END AS sum_value, CASE WHEN user_id % 4 = 1 THEN purchases::DOUBLE END AS purchases, CASE WHEN user_id % 4 = 2 THEN large::DOUBLE END AS large FROM ({_STATS})""")
+def task_statistics(t: Tables) -> DataFrame:
+    """Those statistics that a question about the answer row concerns, and the columns it concerns."""
+    asked = _statistics(t).withColumn("question", F.expr(_QUESTION))
+    columns = evidence.relevant_columns(F.col("question"), F.array(F.lit("event_id")), {"event_type": ["purchase"], "value": ["spend", "amount"]}, ["event_id", "event_type", "value"])
+    told = evidence.task_statistics(asked.withColumn("columns", columns), F.col("question"), F.col("columns"), ["value"], ["first", "last"], {"purchases": (["event_type"], ["purchase"]), "large": (["value"], ["large"])})
+    return told.select("user_id", "num_events", F.array_join("columns", ",").alias("columns"), "first_place", "last_place", "sum_value", F.col("purchases").cast("double").alias("purchases"), F.col("large").cast("double").alias("large"))
+
+
+@query(r"""SELECT conv_id AS id, '$.steps[' || (nth - 1) || '].final' AS path, 0 AS nth, role AS item_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS sql, sha256(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS sha256
+FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS nth FROM conversations) WHERE text IS NOT NULL""")
+def final_nodes(t: Tables) -> DataFrame:
+    """Statements below the ``final`` nodes of nested documents, one document a conversation."""
+    steps = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
+    final = F.transform(steps, lambda s: F.struct(s["turn"].alias("turn"), F.array(F.struct(s["role"].alias("item_id"), s["text"].alias("sql"))).alias("final")))
+    docs = t.conversations.groupBy("conv_id").agg(final.alias("steps")).select("conv_id", F.to_json(F.struct("conv_id", "steps")).alias("body"))
+    found = nodes.final_statements(nodes.nodes(docs, "conv_id", "body"))
+    return found.select("id", "path", "nth", "item_id", "sql", "sha256")
+
+
 @query("""SELECT event_id, event_type, props AS fp, row_number() OVER (PARTITION BY event_type, props ORDER BY event_id) = 1 OR coalesce(props, '') = '' AS kept FROM events""")
 def streamed_registry(t: Tables) -> DataFrame:
     """Events read as a stream, each kept unless its type has had its properties: bounded state, in shards."""
