@@ -10,6 +10,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import with_row_ids
+
 
 def _cols(names: Sequence[str]) -> list[Column]:
     return [F.col(n) for n in names]
@@ -120,17 +122,15 @@ def frequency_tiers(df: DataFrame, entity: str) -> DataFrame:
     """Entities by falling frequency (ties by name) with ``place`` and ``tier``: top half, bottom half
     (of whole halves) or middle.
 
-    Places come from the few distinct frequencies: how many entities are more frequent, plus the place
-    among the equally frequent.  No sort spans all entities.
+    Places are those of a range-sorted table, so that neither all entities nor those of one frequency, usually
+    most of them, meet in a task.
     """
     counts = df.filter(F.col(entity).isNotNull()).groupBy(entity).agg(F.count(F.lit(1)).alias("rows"))
-    levels = counts.groupBy("rows").agg(F.count(F.lit(1)).alias("__k"))
-    above = F.sum("__k").over(Window.orderBy(F.desc("rows")).rowsBetween(Window.unboundedPreceding, -1))
-    levels = levels.select("rows", F.coalesce(above, F.lit(0)).alias("__above"), F.sum("__k").over(Window.partitionBy()).alias("__all"))
-    place = F.row_number().over(Window.partitionBy("rows").orderBy(entity)) + F.col("__above")
+    placed = with_row_ids(counts, [F.desc("rows"), entity], "__place")
+    total = placed.agg(F.count(F.lit(1)).alias("__all"))  # one row
     half = F.greatest(F.lit(1), F.floor(F.col("__all") / 2))
     tier = F.when(F.col("place") <= half, "top").when(F.col("place") > F.col("__all") - half, "bottom").otherwise("middle")
-    return counts.join(levels, "rows").withColumn("place", place.cast("bigint")).select(entity, "rows", "place", tier.alias("tier"))
+    return placed.withColumn("place", (F.col("__place") + 1).cast("bigint")).join(F.broadcast(total)).select(entity, "rows", "place", tier.alias("tier"))
 
 
 def compress_ranges(df: DataFrame, keys: Sequence[str], number: str, alias: str = "ranges") -> DataFrame:
