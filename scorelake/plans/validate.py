@@ -10,14 +10,13 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Callable, Iterable, Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import cells, text
 from ..operators.signature import answer_signature, json_value
-from . import difficulty, guard, params
+from . import batch, difficulty, guard, params
 
 #: Rows of an answer that may reach the driver.
 ANSWER_ROWS = 100_000
@@ -69,16 +68,22 @@ class Source:
         return self.session.sql(sql.strip().rstrip(";"))
 
 
-def validate(records: Sequence[Mapping[str, object]], source_of: Callable[[Mapping[str, object]], DataFrame | None], workers: int = 8) -> list[dict[str, object]]:
+def validate(records: Sequence[Mapping[str, object]], source_of: Callable[[Mapping[str, object]], DataFrame | None]) -> list[dict[str, object]]:
     """One detail for each record, in order: whether its SQL runs and gives its stored answer.
 
     ``source_of`` gives a record's table (None if there is none); equal tables should be the same object,
-    so that a source is registered once."""
+    so that a source is registered once.  The distinct statements of a source run in unions (``batch``)."""
     sources: dict[int, Source] = {}
     tables = [source_of(r) for r in records]
     for df in tables:
         if df is not None and id(df) not in sources:
             sources[id(df)] = Source(df)
+    asked: dict[int, list[str]] = {k: [] for k in sources}
+    for r, df in zip(records, tables, strict=True):
+        sql = r.get("sql") or r.get("query")
+        if df is not None and isinstance(sql, str) and sql.strip():
+            asked[id(df)].append(sql)
+    answers = {k: batch.answers(sources[k], statements, ANSWER_ROWS) for k, statements in asked.items()}
 
     def check(index: int) -> dict[str, object]:
         record, df = records[index], tables[index]
@@ -88,20 +93,16 @@ def validate(records: Sequence[Mapping[str, object]], source_of: Callable[[Mappi
             return detail | {"error": "missing sql"}
         if df is None:
             return detail | {"error": "source not found"}
-        try:
-            actual = answer_of(sources[id(df)].run(sql))
-        except PermissionError as e:
-            return detail | {"error": f"rejected: {e}"}
-        except Exception as e:  # noqa: BLE001  any failure of a statement is that record's result
-            return detail | {"error": str(e)}
+        actual = answers[id(df)][sql]
+        if isinstance(actual, Exception):
+            return detail | {"error": f"rejected: {actual}" if isinstance(actual, PermissionError) else str(actual)}
         expected = record.get("answer") if isinstance(record.get("answer"), dict) else record.get("ground_truth_table")
         checked = isinstance(expected, dict)
         match = not checked or answer_signature(expected) == answer_signature(actual)
         detail |= {"ok": match, "answer_match": match, "answer_checked": checked, "row_count": len(actual["rows"]), "column_count": len(actual["columns"]), "result_signature": answer_signature(actual)}
         return detail if match else detail | {"error": "stored answer differs from the result"}
 
-    with ThreadPoolExecutor(workers) as pool:
-        return list(pool.map(check, range(len(records))))
+    return [check(i) for i in range(len(records))]
 
 
 def deduplicate(records: Iterable[Mapping[str, object]]) -> tuple[list[Mapping[str, object]], list[dict[str, object]]]:
