@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -178,3 +179,19 @@ def paired_keys(df: DataFrame, key: str, metric: str, model: str, models: Sequen
     """Keys for which every model has a value (or, with ``true_only``, has true)."""
     has = lambda m: F.bool_or((F.col(model) == m) & (F.coalesce(F.col(metric).cast("boolean"), F.lit(False)) if true_only else F.col(metric).isNotNull()))
     return df.groupBy(key).agg(*(has(m).alias(f"__{i}") for i, m in enumerate(models))).filter(" AND ".join(f"__{i}" for i in range(len(models)))).select(key)
+
+
+def coverage(df: DataFrame, model: str, has: Mapping[str, str]) -> DataFrame:
+    """Samples of each model, and those for which each condition of ``has`` (name to SQL) holds and doesn't (``no_``)."""
+    holds = lambda c: F.coalesce(F.expr(c), F.lit(False))
+    counts = [x for name, c in has.items() for x in (F.count_if(holds(c)).alias(name), F.count_if(~holds(c)).alias(f"no_{name}"))]
+    return df.groupBy(model).agg(F.count(F.lit(1)).alias("samples"), *counts)
+
+
+def paired_coverage(df: DataFrame, key: str, model: str, models: Sequence[object], has: Mapping[str, str]) -> DataFrame:
+    """``subset`` and ``n``: all samples (``samples``), and for each condition those for which it holds with every model.
+    One aggregation by sample serves all conditions."""
+    holds = lambda m, c: F.coalesce(F.bool_or((F.col(model) == F.lit(m)) & F.coalesce(F.expr(c), F.lit(False))), F.lit(False))
+    every = [reduce(lambda a, b: a & b, [holds(m, c) for m in models]).alias(name) for name, c in has.items()]
+    sums = df.filter(F.col(key).isNotNull()).groupBy(key).agg(*every).agg(F.count(F.lit(1)).alias("samples"), *(F.count_if(F.col(name)).alias(name) for name in has))
+    return sums.unpivot([], ["samples", *has], "subset", "n")

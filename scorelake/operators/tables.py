@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import cells
+
 TABLE = "struct<columns: array<string>, rows: array<array<string>>>"
 # What marks a header as a measure, inside it, at its ends, or as all of it.
 METRIC_INSIDE = ("strike_rate", "economy", "percentage", "ratio", "avg_", "average", "frequency", "conversion", "cumulative", "longest", "shortest", "maximum", "minimum", "count")
@@ -102,3 +104,12 @@ def joined_results(skills: DataFrame, results: Sequence[DataFrame], on: Sequence
     single = skills.groupBy(*on).agg(F.count(F.lit(1)).alias("__k"), *(F.first(c).alias(c) for c in skills.columns if c not in on))
     checked = single.withColumn("__ok", F.assert_true(F.col("__k") == 1, F.lit("a record has more than one row of skills")))
     return every.join(checked, list(on)).filter("__ok IS NULL").drop("__k", "__ok")
+
+
+def numeric_columns(table: Column, rows: int = 50) -> Column:
+    """Names of a table's columns with a number in one of its first ``rows`` rows (short rows lack cells); of a
+    repeated name the last column counts."""
+    first = F.slice(table["rows"], 1, rows)
+    last = lambda i: ~F.array_contains(F.slice(table["columns"], i + 2, F.size(table["columns"])), F.element_at(table["columns"], i + 1))
+    has = lambda i: F.exists(first, lambda r: F.coalesce(cells.to_float(F.try_element_at(r, i + 1)).isNotNull(), F.lit(False)))
+    return F.filter(table["columns"], lambda c, i: last(i) & has(i))

@@ -44,7 +44,7 @@ def query(sql: str | None) -> Callable[[Callable[[Tables], DataFrame]], Query]:
 
 
 def queries() -> dict[str, Query]:
-    from . import columns, evaluation, predictions, relational, resampling, shapes  # noqa: F401  they register themselves
+    from . import columns, coverage, evaluation, predictions, relational, resampling, shapes  # noqa: F401  they register themselves
 
     return dict(_QUERIES)
 
