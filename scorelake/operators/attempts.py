@@ -15,8 +15,14 @@ from .vote import pick_attempt
 
 
 def read_attempts(spark: SparkSession, folder: str, schema: str) -> DataFrame:
-    """Logs below ``folder``, one JSON file an attempt, with ``attempt`` (the last number in the file's name) and
-    ``file``."""
+    """Logs below ``folder`` with ``attempt`` and ``file``.
+
+    A folder of files has one JSON document each, and an attempt's number is the last one in its file's name; a
+    folder of subfolders ``attempt=N`` has JSON lines.  Filters on ``attempt`` or ``file`` leave out files before they are
+    read."""
+    nested = spark.read.schema(schema).json(folder)
+    if "attempt" in nested.columns:
+        return nested.select("*", F.col("_metadata.file_name").alias("file"))
     logs = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).json(folder)
     name = F.col("_metadata.file_name")
     number = F.regexp_extract(name, r"(\d+)\D*$", 1)

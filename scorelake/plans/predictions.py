@@ -194,13 +194,13 @@ def log_batch_outputs(t: Tables) -> DataFrame:
     return attempts.consumed(t.customer.select("c_custkey"), outputs, "c_custkey", "o_orderkey")
 
 
-@query("SELECT sample_id, attempt FROM (VALUES ('s1', 2), ('s2', 1)) AS v(sample_id, attempt)")
+@query("SELECT user_id AS sample_id, max(event_id % 4) AS attempt FROM (SELECT user_id, event_id % 4 AS event_id FROM events GROUP BY user_id, event_id % 4 HAVING avg(value) > 40) GROUP BY user_id")
 def log_files(t: Tables) -> DataFrame:
-    """Attempt files of a run: the last valid one of each sample."""
+    """A run's log folder, a subfolder an attempt: the last valid one of each sample."""
     folder = session.scratch_folder(t.spark, "logs")
-    for name, text in (("s1_attempt_1", '{"sample_id": "s1", "valid": true}'), ("s1_attempt_2", '{"sample_id": "s1",\n"valid": true}'), ("s1_attempt_3", '{"sample_id": "s1", "valid": false}'), ("s2_attempt_1", '{"sample_id": "s2", "valid": true}')):
-        writers.replace_file(t.spark, f"{folder}/{name}.json", text)
-    return attempts.winners(attempts.read_attempts(t.spark, folder, "sample_id string, valid boolean"), ["sample_id"]).select("sample_id", "attempt")
+    logged = t.events.groupBy(F.col("user_id").alias("sample_id"), (F.col("event_id") % 4).alias("attempt")).agg((F.avg("value") > 40).alias("valid"))
+    logged.write.partitionBy("attempt").json(folder)
+    return attempts.winners(attempts.read_attempts(t.spark, folder, "sample_id bigint, valid boolean"), ["sample_id"]).select("sample_id", "attempt")
 
 
 # profiles, evidence and similar questions
@@ -352,7 +352,7 @@ def suite_totals(t: Tables) -> DataFrame:
     return strata.totals(counters, ["split", "setting"], ["records", "correct"]).select("split", "setting", "records", "correct")
 
 
-@query("WITH e AS (SELECT event_id // 8 AS r, event_id % 3 <> 0 AS there, event_id % 2 = 0 AS near FROM events), s AS (SELECT r, count(*) AS g, count(*) FILTER (there) AS p, count(*) FILTER (there AND near) AS c FROM e GROUP BY r) SELECT count(*) AS records, count(*) FILTER (g = p) AS row_matches, count(*) AS col_matches, round(sum(p) / sum(g), 6) AS micro_recall, round(avg(p / g), 6) AS macro_recall, round(100 * sum(c) / sum(p), 6) AS micro_cell_acc, round(avg(100.0 * c / nullif(p, 0)), 6) AS macro_cell_acc FROM s")
+@query("WITH e AS (SELECT event_id // 8 AS r, event_type <> 'error' AS there, event_id % 2 = 0 AS near FROM events), s AS (SELECT r, count(*) AS g, count(*) FILTER (there) AS p, count(*) FILTER (there AND near) AS c FROM e GROUP BY r) SELECT count(*) AS records, count(*) FILTER (g = p) AS row_matches, count(*) AS col_matches, round(sum(p) / sum(g), 6) AS micro_recall, round(avg(p / g), 6) AS macro_recall, round(100 * sum(c) / sum(p), 6) AS micro_cell_acc, round(avg(100.0 * c / nullif(p, 0)), 6) AS macro_cell_acc FROM s")
 def suite_summary(t: Tables) -> DataFrame:
     """Micro and macro means over records."""
     from .columns import _answers
@@ -361,12 +361,15 @@ def suite_summary(t: Tables) -> DataFrame:
     return made.select("records", "row_matches", "col_matches", *(F.round(c, 6).alias(c) for c in ("micro_recall", "macro_recall", "micro_cell_acc", "macro_cell_acc")))
 
 
-@query("WITH g AS (SELECT o_orderstatus AS q, o_orderkey AS k, o_totalprice AS v FROM orders WHERE o_orderkey % 5 <> 0), p AS (SELECT o_orderstatus AS q, o_orderkey AS k, o_totalprice + CASE WHEN o_orderkey % 2 = 0 THEN 0.25 ELSE 2 END AS v FROM orders WHERE o_orderkey % 3 <> 0), m AS (SELECT coalesce(g.q, p.q) AS q, g.v AS gv, p.v AS pv, g.k AS gk, p.k AS pk FROM g FULL JOIN p ON g.q = p.q AND g.k = p.k) SELECT q AS question, count(gk) AS gold_rows, round(count(*) FILTER (abs(pv - gv) <= 0.4) / count(gk), 6) AS accuracy, round(count(*) FILTER (gk IS NOT NULL AND pk IS NOT NULL) / count(pk), 6) AS precision_at_k, round(sqrt(avg((pv - gv) * (pv - gv))), 4) AS rmse FROM m GROUP BY q")
+_SQL_SUMS = "SELECT l_returnflag AS q, l_partkey AS k, sum(l_quantity) AS v FROM lineitem WHERE {} GROUP BY 1, 2"
+
+
+@query(f"WITH g AS ({_SQL_SUMS.format('l_discount < 0.08')}), p AS ({_SQL_SUMS.format('l_tax > 0.01')}), m AS (SELECT coalesce(g.q, p.q) AS q, g.v AS gv, p.v AS pv, g.k AS gk, p.k AS pk FROM g FULL JOIN p ON g.q = p.q AND g.k = p.k) SELECT q AS question, count(gk) AS gold_rows, round(count(*) FILTER (abs(pv - gv) <= 0.4) / count(gk), 6) AS accuracy, round(count(*) FILTER (gk IS NOT NULL AND pk IS NOT NULL) / count(pk), 6) AS precision_at_k, round(sqrt(avg((pv - gv) * (pv - gv))), 4) AS rmse FROM m GROUP BY q")
 def suite_question_scores(t: Tables) -> DataFrame:
-    """Accuracy within a tolerance, precision and error of each question's table."""
-    rows = t.orders.select(F.col("o_orderstatus").alias("question"), F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("v"))
-    pred = rows.filter("k % 3 <> 0").withColumn("v", F.col("v") + F.when(F.col("k") % 2 == 0, 0.25).otherwise(2))
-    scored = strata.question_scores(rows.filter("k % 5 <> 0"), pred, "question", ["k"], "v")
+    """Accuracy within a tolerance, precision and error of each question's table, where the prediction asked for other
+    lines."""
+    sums = lambda condition: t.lineitem.filter(condition).groupBy(F.col("l_returnflag").alias("question"), F.col("l_partkey").alias("k")).agg(F.sum("l_quantity").alias("v"))
+    scored = strata.question_scores(sums("l_discount < 0.08"), sums("l_tax > 0.01"), "question", ["k"], "v")
     return scored.select("question", "gold_rows", F.round("accuracy", 6).alias("accuracy"), F.round("precision_at_k", 6).alias("precision_at_k"), F.round("rmse", 4).alias("rmse"))
 
 

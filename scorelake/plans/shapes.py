@@ -78,9 +78,16 @@ def qualify_top_two(t: Tables) -> DataFrame:
     return op.qualify(t.events, place, lambda q: q <= 2).select("event_id")
 
 
-@query("WITH RECURSIVE steps(n, total) AS (SELECT 1, 1 UNION ALL SELECT n + 1, total + n + 1 FROM steps WHERE n < 30) SELECT n, total FROM steps")
+_SMOOTHED = "WITH RECURSIVE steps(nth, level) AS (SELECT nth, mean FROM years WHERE nth = 0 UNION ALL SELECT q.nth, s.level / 2 + q.mean / 2 FROM steps s JOIN years q ON q.nth = s.nth + 1) SELECT CAST(nth AS INT) AS nth, round(level, 4) AS level FROM steps"
+
+
+@query(_SMOOTHED.replace("WITH RECURSIVE", "WITH RECURSIVE years AS (SELECT nth - min(nth) OVER () AS nth, mean FROM (SELECT year(o_orderdate) AS nth, avg(o_totalprice) AS mean FROM orders GROUP BY 1)),"))
 def recursive_cte(t: Tables) -> DataFrame:
-    return t.spark.sql("WITH RECURSIVE steps(n, total) AS (SELECT 1, 1 UNION ALL SELECT n + 1, total + n + 1 FROM steps WHERE n < 30) SELECT n, total FROM steps")
+    """Smoothed means of years, each from the one before: a recursion as deep as the calendar."""
+    years = t.orders.groupBy(F.year("o_orderdate").alias("nth")).agg(F.avg("o_totalprice").alias("mean"))
+    uri = session.scratch_folder(t.spark, "years")  # read at every step
+    years.withColumn("nth", F.col("nth") - F.min("nth").over(Window.partitionBy())).coalesce(1).write.parquet(uri)
+    return t.spark.sql(_SMOOTHED.replace("years", "{years}"), years=t.spark.read.parquet(uri))
 
 
 # dialect differences
@@ -231,24 +238,27 @@ def shards_round_trip(t: Tables) -> DataFrame:
     return t.spark.read.schema("o_orderkey bigint, shard int").json(folder).groupBy("shard").agg(_n(), F.min("o_orderkey").alias("first"), F.max("o_orderkey").alias("last"))
 
 
-@query("SELECT 3 AS files, 0 AS broken, 1 AS broken_after")
+@query("SELECT CAST(count(DISTINCT s_nationkey) AS INT) AS files, 0 AS broken, 1 AS broken_after FROM supplier")
 def release_audit(t: Tables) -> DataFrame:
     """Checksums of written files against their manifest, before and after one changes."""
-    folder = session.scratch_folder(t.spark, "release")
-    for i in range(3):
-        writers.replace_file(t.spark, f"{folder}/file{i}.json", json.dumps({"i": i}))
-    manifest = t.spark.createDataFrame(writers.checksums(t.spark, folder).collect())
-    before = writers.audit(t.spark, folder, manifest).collect()
-    writers.replace_file(t.spark, f"{folder}/file1.json", "{}")
-    after = writers.audit(t.spark, folder, manifest).collect()
-    return t.spark.createDataFrame([(manifest.count(), len(before), len(after))], "files int, broken int, broken_after int")
+    folder, listed = session.scratch_folder(t.spark, "release"), session.scratch_folder(t.spark, "manifest")
+    t.supplier.repartition("s_nationkey").write.partitionBy("s_nationkey").json(folder)
+    writers.checksums(t.spark, folder).write.parquet(listed)
+    manifest = t.spark.read.parquet(listed)
+    before = writers.audit(t.spark, folder, manifest).count()
+    writers.replace_file(t.spark, f"{folder}/{manifest.agg(F.min('name')).first()[0]}", "{}")
+    after = writers.audit(t.spark, folder, manifest)
+    return manifest.agg(F.count(F.lit(1)).cast("int").alias("files")).select("files", F.lit(before).alias("broken"), F.lit(after.count()).alias("broken_after"))
 
 
-@query("SELECT nth, sql FROM (VALUES (0, 'SELECT 1'), (1, 'SELECT 2 FROM df')) AS v(nth, sql)")
+@query("SELECT CAST(row_number() OVER (PARTITION BY s_suppkey // 50 ORDER BY s_suppkey) - 1 AS INT) AS nth, 'SELECT ' || s_suppkey || ' FROM df' AS sql FROM supplier")
 def sql_files(t: Tables) -> DataFrame:
-    path = session.scratch_folder(t.spark, "sql") + ".sql"
-    writers.replace_file(t.spark, path, "-- Query 1\nSELECT 1\n\n-- Query 2\nSELECT 2 FROM df\n")
-    return readers.read_sql_file(t.spark, path).select("nth", "sql")
+    """Statements of files that hold up to fifty each."""
+    folder = session.scratch_folder(t.spark, "sql")
+    statement = F.concat(F.lit("-- Query of "), "s_name", F.lit("\nSELECT "), "s_suppkey", F.lit(" FROM df\n"))
+    listed = F.array_sort(F.collect_list(F.struct("s_suppkey", statement.alias("text"))))["text"]
+    t.supplier.groupBy(F.floor(F.col("s_suppkey") / 50).alias("file")).agg(F.array_join(listed, "\n").alias("value")).write.partitionBy("file").text(folder)
+    return readers.read_sql_file(t.spark, folder).select("nth", "sql")
 
 
 @query("SELECT id, question, n_variables FROM (VALUES ('a', 'How many?', 2), ('1', 'Who?', 0)) AS v(id, question, n_variables)")
