@@ -11,7 +11,7 @@ some sentence needs are put in normal form, and of them only such sentences are
 
 Defined cases: null and empty texts have no sentences and no licence; repeated rows and null ids
 stay; a sentence counts wherever it stands; an empty table gives an empty result; other columns are
-ignored; texts of any length are read whole.
+ignored; texts of any length are read whole, and names and subjects inside sentences may have any length.
 """
 
 from __future__ import annotations
@@ -49,7 +49,7 @@ RULES = (
 )
 
 # Further sentences by identifier: patterns over the normal form.  A blank also stands for a break
-# between lines, {X} for a name or any few words.
+# between lines, {X} for a name or any other words of the sentence, however many.
 
 _L = "licen[sc]e"
 _AS_IS = "is provided(?: by {X})? as is"
@@ -149,7 +149,7 @@ _BREAK = r"\r\t:"
 
 def _pattern(words: str) -> str:
     """Java pattern of a whole sentence of the normal form."""
-    return f"(?<=[{_BREAK}])(?:" + words.replace(".", r"\.").replace("{X}", r"[^\r]{1,200}?").replace(" ", r"[ \t:]") + f")(?=[{_BREAK}])"
+    return f"(?<=[{_BREAK}])(?:" + words.replace(".", r"\.").replace("{X}", r"[^\r]+?").replace(" ", r"[ \t:]") + f")(?=[{_BREAK}])"
 
 
 def _rules() -> list[tuple[str, str]]:
@@ -188,7 +188,7 @@ def _may_be_known(lowered: Column) -> Column:
 
 def identifiers(text: Column) -> Column:
     """A code for each known sentence, in order; ``-`` for sentences that aren't known."""
-    subject = lambda verb: (rf"(?<=[{_BREAK}])[^\r]{{1,100}}?[ \t:](?=(?:{verb}))", "")
+    subject = lambda verb: (rf"(?<=[{_BREAK}])[^{_BREAK}]+? (?=(?:{verb}))", "")  # noqa: E731  what stands before the verb in its line
     steps = [subject(r"is[ \t]free[ \t]software[ \t:]|is[ \t]distributed[ \t]in[ \t]the[ \t]hope")]
     steps += [(_pattern(words), _CODES[name]) for name, words in TEXTS.items()]
     steps += [(_pattern(words), _CODES[letter]) for words, letter in SENTENCES.items()]

@@ -227,6 +227,23 @@ def test_training_is_bounded_by_bytes(spark):
 # licences
 
 
+def test_licence_names_of_any_length(spark):
+    """Holders and subjects of hundreds of words, on one line or wrapped, and a lead repeated through a long text."""
+    holder = " ".join(f"Holder{i}" for i in range(400))
+    wrapped = "\n".join(f"holder {i} of the" for i in range(100))
+    texts = [
+        f"In no event shall {holder} be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the {wrapped} software.",
+        f"To the extent possible under law, {wrapped} people waived all copyright and related or neighboring rights to {holder}.",
+        f"The files of {holder} are licensed under the MIT License.",
+        f"{holder} is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "in no event shall we " * 5000,
+        f"{holder}. Nothing is licensed.",
+    ]
+    got = {r["doc_id"]: r for r in licences.scan(spark.createDataFrame(rows_of(texts), SCHEMA)).collect()}
+    first = min(got)
+    assert [(got[first + i]["n_known"], got[first + i]["licences"]) for i in range(len(texts))] == [(1, []), (1, ["CC0-1.0"]), (1, ["MIT"]), (1, ["GPL-3.0-or-later"]), (0, []), (0, [])]
+
+
 def test_licences_tie_and_keep_their_rows(spark):
     texts = ["MIT License\nMIT License", "Licensed under the MIT License.\nLicensed under the Apache License, Version 2.0.", None, None]
     got = licences.scan(spark.createDataFrame(rows_of(texts, [1, 2, None, None]), SCHEMA)).collect()
