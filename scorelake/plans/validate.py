@@ -1,7 +1,7 @@
 """Execution, validation and generation of query records over event tables.
 
 A record names its source, its SQL over the relation ``df`` and perhaps a stored answer.  Each source
-is one temporary view in a session of its own; statements run as Spark jobs on a bounded thread pool.
+is one temporary view in a session of its own, over which statements run in tagged unions.
 Answers are result tables of single questions; they reach the driver up to a stated row limit.
 """
 
@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import cells, text
+from ..operators import schedule
 from ..operators.signature import answer_signature, json_value
 from . import batch, difficulty, guard, params
 
@@ -122,31 +123,87 @@ def deduplicate(records: Iterable[Mapping[str, object]]) -> tuple[list[Mapping[s
     return kept, removed
 
 
-def generate(templates: Sequence[Mapping[str, object]], sources: Mapping[str, DataFrame], samples: int = 1, seed: int = 42, keep_zeroish: bool = False) -> tuple[list[dict[str, object]], list[dict[str, object]]]:
+class _Asker:
+    """Parameter sets of templates for one source, and the answers of their statements."""
+
+    def __init__(self, name: str, df: DataFrame, seed: int) -> None:
+        self.name, self.seed, self.source = name, seed, Source(df)
+        self.found = params.profile(df) if {"batsman", "bowler", "overs"} <= set(df.columns) else params.Profile({"batsman": [], "bowler": []})
+
+    def entries(self, template: Mapping[str, object], samples: int, salt: object = "") -> list[dict[str, object]]:
+        """Statement and question of each parameter set; the same seed and salt give the same."""
+        t = template
+        start = int.from_bytes(hashlib.sha256(f"{self.seed}|{self.name}|{t.get('id')}{salt}".encode()).digest()[:8], "big")
+        made = []
+        for nth, values in enumerate(params.sample(self.found, t.get("variables") or [], samples, start)):
+            question = text.fill(t.get("question") or "", {**values, "temporal_predicate": values.get("temporal_phrase", "")})
+            made.append({"source_id": self.name, "template_id": t.get("id"), "sample": nth, "params": values, "sql": text.instantiate(t.get("sql") or t.get("query") or "", values), "question": question, "primary_key": list(t.get("primary_key") or [])})
+        return made
+
+    def answers(self, entries: Iterable[Mapping[str, object]], jobs: list[int] | None = None) -> Mapping[str, dict | Exception]:
+        return batch.answers(self.source, (e["sql"] for e in entries), ANSWER_ROWS, jobs=jobs)
+
+    def record(self, entry: Mapping[str, object], answer: Mapping[str, object]) -> dict[str, object]:
+        identity = json.dumps([self.name, entry["template_id"], entry["sample"], entry["params"], entry["sql"]], sort_keys=True, default=str)
+        return {"record_id": hashlib.sha256(identity.encode()).hexdigest()[:12], **entry, "answer": answer, "analysis": difficulty.analyse(self.source.session, entry["sql"])}
+
+
+def generate(templates: Sequence[Mapping[str, object]], sources: Mapping[str, DataFrame], samples: int = 1, seed: int = 42, keep_zeroish: bool = False, jobs: list[int] | None = None) -> tuple[list[dict[str, object]], list[dict[str, object]]]:
     """Records (and errors) of every source, template and parameter set.
 
     Record ids are digests of source, template, parameters and SQL, so a run with the same seed gives the
-    same records."""
+    same records.  The statements of a source run in unions (``batch``), whose sizes ``jobs`` gets."""
     made, errors = [], []
     for name, df in sources.items():
-        source = Source(df)
-        found = params.profile(df) if {"batsman", "bowler", "overs"} <= set(df.columns) else params.Profile({"batsman": [], "bowler": []})
-        for t in templates:
-            sql = t.get("sql") or t.get("query") or ""
-            salt = int.from_bytes(hashlib.sha256(f"{seed}|{name}|{t.get('id')}".encode()).digest()[:8], "big")
-            for nth, values in enumerate(params.sample(found, t.get("variables") or [], samples, salt)):
-                concrete = text.instantiate(sql, values)
-                entry = {"source_id": name, "template_id": t.get("id"), "sample": nth, "params": values, "sql": concrete, "question": text.fill(t.get("question") or "", {**values, "temporal_predicate": values.get("temporal_phrase", "")}), "primary_key": list(t.get("primary_key") or [])}
-                try:
-                    answer = answer_of(source.run(concrete))
-                except Exception as e:  # noqa: BLE001  a template that doesn't fit a source is reported
-                    errors.append(entry | {"error": str(e)})
-                    continue
-                if is_zeroish(answer) and not keep_zeroish:
-                    errors.append(entry | {"error": "empty answer"})
-                    continue
-                identity = json.dumps([name, t.get("id"), nth, values, concrete], sort_keys=True, default=str)
-                made.append({"record_id": hashlib.sha256(identity.encode()).hexdigest()[:12], **entry, "answer": answer, "analysis": difficulty.analyse(source.session, concrete)})
+        asker = _Asker(name, df, seed)
+        entries = [e for t in templates for e in asker.entries(t, samples)]
+        answers = asker.answers(entries, jobs)
+        for entry in entries:
+            answer = answers[entry["sql"]]
+            if isinstance(answer, Exception):  # a template that doesn't fit a source is reported
+                errors.append(entry | {"error": str(answer)})
+            elif is_zeroish(answer) and not keep_zeroish:
+                errors.append(entry | {"error": "empty answer"})
+            else:
+                made.append(asker.record(entry, answer))
+    return made, errors
+
+
+def generate_covering(templates: Sequence[Mapping[str, object]], sources: Mapping[str, DataFrame], uses: int = 2, source_uses: int = 1, tries: int = 20, zeroish_share: float = 0.02, seed: int = 42, jobs: list[int] | None = None) -> tuple[list[dict[str, object]], list[dict[str, object]]]:
+    """Records (and errors) of a schedule that uses every template and every source (``schedule.coverage``).
+
+    A turn takes the first of its ``tries`` parameter sets that has an answer, where one with nothing but zeros, nulls and
+    blanks counts only while at most ``zeroish_share`` of the records have such.  Answers come in rounds: each asks the
+    turns that have none yet for their next set, in unions by source.  Turns without a record are errors."""
+    if not templates or not sources:
+        return [], []
+    names, df = list(sources), next(iter(sources.values()))
+    places = lambda n, name: df.sparkSession.range(n).withColumnRenamed("id", name)
+    turns = [(r["__template"], names[r["__source"]], r["slot"]) for r in schedule.coverage(places(len(templates), "__template"), places(len(names), "__source"), "__template", "__source", uses, source_uses, seed).orderBy("turn").collect()]
+    askers = {name: _Asker(name, sources[name], seed) for name in names}
+    asked = [askers[name].entries(templates[t], tries, f"|{slot}") for t, name, slot in turns]
+    known: dict[str, dict[str, dict | Exception]] = {name: {} for name in names}
+    waiting = list(range(len(turns)))
+    for nth in range(max(map(len, asked))):
+        waiting = [i for i in waiting if nth < len(asked[i])]
+        for name in names:
+            new = [asked[i][nth] for i in waiting if turns[i][1] == name and asked[i][nth]["sql"] not in known[name]]
+            known[name] |= askers[name].answers(new, jobs) if new else {}
+        answer = lambda i: known[turns[i][1]][asked[i][nth]["sql"]]  # noqa: B023, E731
+        waiting = [i for i in waiting if isinstance(answer(i), Exception) or is_zeroish(answer(i))]
+    made, errors, zeros = [], [], 0
+    for (_, name, _), entries in zip(turns, asked, strict=True):
+        why = "no statement"
+        for entry in entries:
+            answer = known[name].get(entry["sql"])
+            zero = isinstance(answer, dict) and is_zeroish(answer)
+            if isinstance(answer, dict) and (not zero or (zeros + 1) / (len(made) + 1) <= zeroish_share):
+                made.append(askers[name].record(entry, answer) | {"index_id": len(made), "zeroish": zero})
+                zeros += zero
+                break
+            why = "empty answer" if zero else str(answer)
+        else:
+            errors.append({**entries[-1], "error": why} if entries else {"source_id": name, "error": why})
     return made, errors
 
 
