@@ -47,6 +47,14 @@ def plain_number(value: Column) -> Column:
     return F.when(cut == "-0", "0").otherwise(cut)
 
 
+def canonical(value: Column) -> Column:
+    """Cell as votes compare it: numbers (to 26 digits before the point and 12 after it) in plain decimal text, NaN and
+    infinities null, other text trimmed."""
+    trimmed = F.trim(value.cast("string"))
+    endless = F.lower(trimmed).rlike(r"^[+-]?(nan|inf|infinity)$")
+    return F.when(~endless, F.coalesce(plain_number(trimmed), trimmed))
+
+
 def surname(value: Column) -> Column:
     """Last word of a name, lower case, letters and digits only."""
     parts = F.filter(F.split(F.regexp_replace(F.lower(F.trim(value)), r"[^a-z0-9 ]+", " "), r"\s+"), lambda x: x != "")

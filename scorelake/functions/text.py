@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -108,6 +108,51 @@ def fill(prose: str, parameters: Mapping[str, object]) -> str:
     return re.sub(r"\{(\w+)\}", lambda m: str(parameters.get(m.group(1), m.group(0))), prose)
 
 
+_HOLE = r"""(?U)(?<!\w)'\{\w+\}'|(?<!\w)"\{\w+\}"|\{\w+\}"""
+
+
+def _python_text(value: Column) -> Column:
+    """A value inside quoted text or prose; a null is ``None``, as where plain values are filled in."""
+    shown = F.when(F.typeof(value) == "boolean", F.initcap(value.cast("string"))).otherwise(value.cast("string"))
+    return F.coalesce(shown, F.lit("None"))
+
+
+def literal(value: Column) -> Column:
+    """SQL text of a column's values, by its type: ``sql_literal`` as an expression."""
+    kind, shown = F.typeof(value), value.cast("string")
+    number = kind.rlike("^(tinyint|smallint|int|bigint|float|double|decimal)")
+    missing = value.isNull() | (kind.isin("double", "float") & (shown == "NaN"))
+    return F.when(missing, "NULL").when(kind == "boolean", F.upper(shown)).when(number, shown).otherwise(F.concat(F.lit("'"), F.replace(shown, F.lit("'"), F.lit("''")), F.lit("'")))
+
+
+def _refilled(template: Column, hole: str, fill: Callable[[Column], Column]) -> Column:
+    """``template`` with each match of ``hole`` replaced once; what is filled in isn't looked at again."""
+    parts = F.split(template, hole, -1)
+    filled = F.transform(F.regexp_extract_all(template, F.lit(hole), F.lit(0)), lambda h, i: F.concat(fill(h), F.element_at(parts, i + 2)))
+    return F.concat(F.element_at(parts, 1), F.array_join(filled, ""))
+
+
+def instantiated(template: Column, values: Mapping[str, Column]) -> Column:
+    """``instantiate`` as an expression: values are columns, of any simple type."""
+    entry = lambda v: F.struct(_python_text(v).alias("plain"), literal(v).alias("literal"), ((F.typeof(v) == "string") & F.coalesce(F.ltrim(v.cast("string")).startswith("("), F.lit(False))).alias("fragment"))
+    known = F.create_map(*(x for name, v in values.items() for x in (F.lit(name), entry(v))))
+
+    def fill(hole: Column) -> Column:
+        name, quote = F.regexp_extract(hole, r"(?U)\{(\w+)\}", 1), F.substring(hole, 1, 1)
+        value = F.try_element_at(known, name)
+        quoted = F.concat(quote, F.replace(value["plain"], quote, F.concat(quote, quote)), quote)
+        raw = name.isin(*RAW_PARAMETERS) | ((quote == "{") & value["fragment"])
+        return F.when(value.isNull(), hole).when(raw, value["plain"]).when(quote == "{", value["literal"]).otherwise(quoted)
+
+    return _refilled(template, _HOLE, fill)
+
+
+def filled(prose: Column, values: Mapping[str, Column]) -> Column:
+    """``fill`` as an expression."""
+    known = F.create_map(*(x for name, v in values.items() for x in (F.lit(name), _python_text(v))))
+    return _refilled(prose, r"(?U)\{\w+\}", lambda h: F.coalesce(F.try_element_at(known, F.regexp_extract(h, r"(?U)\{(\w+)\}", 1)), h))
+
+
 def parameters_of(template: str, concrete: str) -> dict[str, str]:
     """Values that turn ``template`` into ``concrete``; empty if it can't be."""
     names: list[str] = []

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import cells, text
-from ..operators import align, lineage, pressure, sessions, signature, strata, temporal, vote
+from ..operators import align, lineage, pressure, sessions, signature, strata, temporal
 from .catalog import Tables, query
 
 
@@ -116,14 +116,14 @@ def _mapped(df: DataFrame, function: Callable[..., object], columns: Sequence[st
 @query("SELECT event_id, 'SELECT ''it''''s ' || event_type || ''' FROM df WHERE u = ' || CAST(user_id AS VARCHAR) || ' AND v > ' || CAST(value AS VARCHAR) || ' AND (overs < 3.1) AND w = {w} AND n IS NULL' AS x FROM events")
 def instantiate_statements(t: Tables) -> DataFrame:
     template = "SELECT '{name}' FROM {table_name} WHERE u = {u} AND v > {v} AND {temporal_predicate} AND w = {w} AND n IS {n}"
-    fill = lambda kind, user, value: text.instantiate(template, {"name": f"it's {kind}", "table_name": "df", "u": user, "v": value, "temporal_predicate": "(overs < 3.1)", "n": None})
-    return _mapped(t.events, fill, ["event_type", "user_id", "value"], "event_id", "event_id bigint, x string")
+    values = {"name": F.concat(F.lit("it's "), "event_type"), "table_name": F.lit("df"), "u": F.col("user_id"), "v": F.col("value"), "temporal_predicate": F.lit("(overs < 3.1)"), "n": F.lit(None).cast("string")}
+    return t.events.select("event_id", text.instantiated(F.lit(template), values).alias("x"))
 
 
 @query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'NULL' WHEN 1 THEN CAST(user_id AS VARCHAR) WHEN 2 THEN 'TRUE' ELSE '''' || event_type || '''''s''' END AS x FROM events")
 def sql_literals(t: Tables) -> DataFrame:
-    literal = lambda i, user, kind: text.sql_literal([None, user, True, f"{kind}'s"][i % 4])
-    return _mapped(t.events.withColumn("i", F.col("event_id")), literal, ["i", "user_id", "event_type"], "event_id", "event_id bigint, x string")
+    of_type = [F.lit(None).cast("double"), F.col("user_id"), F.lit(True), F.concat("event_type", F.lit("'s"))]
+    return t.events.select("event_id", F.element_at(F.array(*map(text.literal, of_type)), (F.col("event_id") % 4 + 1).cast("int")).alias("x"))
 
 
 @query("SELECT event_id, event_type || '/' || CAST(user_id AS VARCHAR) AS x FROM events")
@@ -147,7 +147,7 @@ def first_json_objects(t: Tables) -> DataFrame:
 
 @query("SELECT event_id, trim(CAST(value AS VARCHAR), '') AS x FROM (SELECT event_id, CASE WHEN value = floor(value) THEN CAST(CAST(value AS BIGINT) AS VARCHAR) ELSE CAST(value AS VARCHAR) END AS value FROM events)")
 def canonical_cells(t: Tables) -> DataFrame:
-    return _mapped(t.events, lambda v: vote.canonical_cell(f" {v}00 "), ["value"], "event_id", "event_id bigint, x string")
+    return t.events.select("event_id", cells.canonical(F.concat(F.lit(" "), F.col("value").cast("string"), F.lit("00 "))).alias("x"))
 
 
 # bins and classes
