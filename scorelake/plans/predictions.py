@@ -9,7 +9,7 @@ from .. import session
 from ..functions import repair, text
 from ..operators import align, attempts, evidence, sessions, strata, tables, vote
 from ..session import scratch_folder
-from ..sources import nodes, writers
+from ..sources import nodes
 from ..streaming import registry
 from . import trace
 from .catalog import Tables, query
