@@ -144,16 +144,19 @@ def compress_ranges(df: DataFrame, keys: Sequence[str], number: str, alias: str
 def concat_ordered(df: DataFrame, keys: Sequence[str], order: str, text: Column, separator: str = "\n", most_chars: int | None = None, alias: str = "context") -> DataFrame:
     """Texts of each key joined in order; longer results are cut to ``most_chars`` and marked `` ...``.
 
-    With a limit only texts that begin before it are gathered, so a key's row is bounded."""
-    rows = df.filter(text.isNotNull()).select(*keys, F.col(order).alias("__o"), text.alias("__t"))
+    Null texts are left out, a null place comes last, and a key without texts has null.  With a limit only texts up to
+    the one that passes it are gathered, so a key's row is bounded."""
+    rows = df.select(*keys, F.isnull(order).alias("__last"), F.col(order).alias("__o"), text.alias("__t"))
     if most_chars is not None:
-        before = F.sum(F.length("__t") + len(separator)).over(Window.partitionBy(*_cols(keys)).orderBy("__o", "__t").rowsBetween(Window.unboundedPreceding, -1))
-        rows = rows.withColumn("__before", F.coalesce(before, F.lit(0))).filter(F.col("__before") <= most_chars).withColumn("__t", F.substring("__t", 1, most_chars + 1))
-    parts = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("__o").alias("o"), F.col("__t").alias("t")))).alias("p"))
+        before = F.sum(F.length("__t") + len(separator)).over(Window.partitionBy(*_cols(keys)).orderBy("__last", "__o", "__t").rowsBetween(Window.unboundedPreceding, -1))
+        reached = F.coalesce(before, F.lit(0)) > most_chars + len(separator)  # what is before, without its last separator, is too long already
+        rows = rows.withColumn("__t", F.when(~reached, F.substring("__t", 1, most_chars + 1)))
+    part = F.when(F.col("__t").isNotNull(), F.struct(F.col("__last").alias("last"), F.col("__o").alias("o"), F.col("__t").alias("t")))
+    parts = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(part)).alias("p"))
     joined = F.array_join(F.col("p.t"), separator)
     if most_chars is not None:
         joined = F.when(F.length(joined) > most_chars, F.concat(F.substring(joined, 1, most_chars), F.lit(" ..."))).otherwise(joined)
-    return parts.select(*keys, joined.alias(alias))
+    return parts.select(*keys, F.when(F.size("p") > 0, joined).alias(alias))
 
 
 def asof(left: DataFrame, right: DataFrame, keys: Sequence[str], left_at: str, right_at: str, columns: dict[str, str]) -> DataFrame:

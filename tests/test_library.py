@@ -5,12 +5,13 @@ import json
 import math
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from scorelake.functions import cells, text
 from scorelake.operators import align, idioms, lineage, resample, sessions, signature, temporal, vote
-from scorelake.plans import difficulty, guard, params, validate
+from scorelake.plans import catalog, difficulty, guard, params, validate
 from scorelake.sources import readers, writers
 from scorelake.streaming import orders
 
@@ -197,6 +198,22 @@ def test_idioms_over_edges(spark):
     assert idioms.compress_ranges(spark.createDataFrame([(1, 1), (1, 2), (1, 3), (1, 7)], "k int, n int"), ["k"], "n").first()["ranges"] == "1-3, 7"
 
 
+def test_concat_marks_texts_that_end_at_the_limit(spark):
+    made = lambda rows, separator, most: {r["k"]: r["context"] for r in idioms.concat_ordered(spark.createDataFrame(rows, "k int, o int, t string"), ["k"], "o", F.col("t"), separator, most).collect()}
+    rows = [(1, 1, "abc"), (1, 2, "d"), (2, 1, "abc"), (3, 1, "ab"), (3, 2, "d"), (3, 3, ""), (4, 1, "a"), (4, 2, ""), (5, 1, None), (6, None, "z"), (6, 1, "a"), (6, 2, None)]
+    assert made(rows, "", 3) == {1: "abc ...", 2: "abc", 3: "abd", 4: "a", 5: None, 6: "az"}
+    assert made(rows, "--", 3) == {1: "abc ...", 2: "abc", 3: "ab- ...", 4: "a--", 5: None, 6: "a-- ..."}
+    assert made(rows, "--", None) == {1: "abc--d", 2: "abc", 3: "ab--d--", 4: "a--", 5: None, 6: "a--z"}
+
+
+@pytest.mark.parametrize("name", ["context_cut", "context_concat"])
+def test_contexts_equal_their_sql_at_the_limit(spark, tmp_path, name):
+    rows = [(1, 0, "user", "x" * 53), (1, 1, "user", "y"), (2, 0, "user", "x" * 53), (3, 0, "user", "x" * 52), (3, 1, "user", ""), (4, 0, "user", None), (4, 1, None, "x"), (5, 0, "user", "x"), (5, 1, "user", None), (6, None, "user", "z"), (6, 3, "user", "a")]
+    spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    want = duckdb.sql(catalog.oracle_sql()[name].replace("FROM conversations", f"FROM '{tmp_path}/conversations.parquet/*.parquet'")).fetchall()
+    assert sorted(map(tuple, catalog.queries()[name](spark, str(tmp_path)).collect())) == sorted(want)
+
+
 # guard and difficulty
 
 
