@@ -6,7 +6,7 @@ Parameter names are plain Python strings; texts, values and paraphrases are colu
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -17,6 +17,11 @@ def _braced(name: str) -> str:
     return "{" + name + "}"
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _literal(value: Column) -> Column:
     """A column's text as a pattern that matches just it."""
     return F.concat(F.lit(r"\Q"), F.replace(value, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
@@ -46,12 +51,15 @@ def value_to_hole(text: Column, name: str, value: Column) -> Column:
 
 def hole_after_word(question: Column, paraphrases: Column, name: str) -> Column:
     """``'{name}'`` after the first word ``name`` of a question that lacks it, if a paraphrase has it."""
+    return _bound(question, lambda q: _hole_after_word(q, paraphrases, name))
+
+
+def _hole_after_word(question: Column, paraphrases: Column, name: str) -> Column:
     hole = F.lit(_braced(name))
     asked = F.exists(paraphrases, lambda p: F.contains(p, hole)) & ~F.contains(question, hole)
-    first = F.regexp_extract(question, rf"(?is)^(.*?)\b{re.escape(name)}\b", 1)
     there = question.rlike(rf"(?i)\b{re.escape(name)}\b")
-    begin = F.length(first) + len(name)
-    filled = F.concat(first, F.lit(f"{name} '{_braced(name)}'"), F.substr(question, (begin + 1).cast("int")))
+    first = F.regexp_extract(question, rf"(?is)^(.*?)\b{re.escape(name)}\b", 1)
+    filled = _bound(first, lambda f: F.concat(f, F.lit(f"{name} '{_braced(name)}'"), F.substr(question, (F.length(f) + len(name) + 1).cast("int"))))
     return F.when(F.coalesce(asked, F.lit(False)) & there, filled).otherwise(question)
 
 
@@ -63,13 +71,18 @@ def repaired(question: Column, paraphrases: Column, values: Mapping[str, Column]
     """(question, paraphrases) with values and quoted names as holes; a parameter that neither names is
     appended to the question."""
     names: Sequence[str] = list(values)
-    mend = lambda text: reduce(marked_text, names, reduce(lambda t, n: value_to_hole(t, n, values[n]), names, text))
+    mend = lambda text: reduce(marked_text, names, reduce(lambda t, n: _bound(t, lambda x: value_to_hole(x, n, values[n])), names, text))
     others = F.transform(F.coalesce(paraphrases, F.array().cast("array<string>")), mend)
-    asked = reduce(lambda q, n: hole_after_word(q, others, n), names, mend(question))
+    asked = lambda o: reduce(lambda q, n: hole_after_word(q, o, n), names, mend(question))
+    return _bound(others, lambda o: _bound(asked(o), lambda q: _with_lacking(q, o, names))), others
+
+
+def _with_lacking(question: Column, paraphrases: Column, names: Sequence[str]) -> Column:
+    """A question with the parameters that neither it nor a paraphrase names."""
     test = lambda n: lambda p: _named_in(p, n)
-    lacking = F.array_compact(F.array(*(F.when(~_named_in(asked, n) & ~F.exists(others, test(n)), F.lit(_braced(n))) for n in names)))
-    tail = F.concat(F.lit(" Parameters: "), F.array_join(lacking, ", "), F.lit("."))
-    return F.when(F.size(lacking) > 0, F.concat(F.rtrim(asked), tail)).otherwise(asked), others
+    holes = F.array_compact(F.array(*(F.when(~_named_in(question, n) & ~F.exists(paraphrases, test(n)), F.lit(_braced(n))) for n in names)))
+    added = lambda lacking: F.when(F.size(lacking) > 0, F.concat(F.rtrim(question), F.lit(" Parameters: "), F.array_join(lacking, ", "), F.lit("."))).otherwise(question)
+    return _bound(holes, added)
 
 
 def declared(variables: Column, *templates: Column) -> Column:

@@ -1,7 +1,7 @@
 """Statements and prose filled by column expressions, against the plain functions."""
 
 from pyspark.sql import functions as F
-from scorelake.functions import cells, text
+from scorelake.functions import cells, repair, text
 from scorelake.operators import vote
 
 TEMPLATES = [
@@ -25,3 +25,22 @@ def test_canonical_cells(spark):
     shown = [" 1.500 ", "-0", "0.0", "1e3", "NaN", "-inf", "x y ", "", None, "007", "12345678901234567890.10", "+5", "1.", ".5"]
     got = [r["x"] for r in spark.createDataFrame([(i, v) for i, v in enumerate(shown)], "i int, v string").orderBy("i").select(cells.canonical(F.col("v")).alias("x")).collect()]
     assert got == [vote.canonical_cell(v) for v in shown]
+
+
+def test_repair_of_more_parameters_repeats_no_work(spark):
+    df = spark.createDataFrame([("Did Root hit 'team'?", ["And <team>?", "x"], "Root", "7"), ("Which over?", ["over {over}"], None, ""), (None, None, "a", "b"), ("7 runs ", None, "x", "7")], "q string, p array<string>, bowler string, runs string")
+
+    def made(*names):
+        values = {n: F.col(n) if n in df.columns else F.lit(None).cast("string") for n in names}
+        question, others = repair.repaired(F.col("q"), F.col("p"), values)
+        return df.select(question.alias("question"), others.alias("others"))
+
+    names = ("bowler", "team", "runs", "over", "venue")
+    assert [tuple(r) for r in made(*names).collect()] == [
+        ("Did {bowler} hit {team}? Parameters: {runs}, {over}, {venue}.", ["And {team}?", "x"]),
+        ("Which over '{over}'? Parameters: {bowler}, {team}, {runs}, {venue}.", ["over {over}"]),
+        (None, []),
+        ("{runs} runs Parameters: {bowler}, {team}, {over}, {venue}.", []),
+    ]
+    two, four = (made(*names[:n])._jdf.queryExecution().analyzed().toString().count("regexp_replace") for n in (2, 4))
+    assert two <= 40 and four <= 2 * two
