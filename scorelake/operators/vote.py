@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import json
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from decimal import Decimal, InvalidOperation
 from difflib import SequenceMatcher
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,9 +44,17 @@ def canonical_cell(value: object) -> object:
     return "0" if text in ("-0", "") else text
 
 
+def _all_same(values: Sequence[object]) -> bool:
+    """Whether plain values are all one and the same, so that any vote gives the first."""
+    first = values[0]
+    return isinstance(first, str | int | float | None) and all(v == first and type(v) is type(first) for v in values)
+
+
 def vote_cell(values: Sequence[object], tolerance: float = 0.0) -> object:
     """Winner of a cell: the largest group of equal values or of numbers within ``tolerance`` of one of
     them, whichever is larger; groups of numbers tie by closeness, then by the earlier vote."""
+    if values and _all_same(values):
+        return values[0]
     cells = [canonical_cell(v) for v in values]
     counts = Counter(cells)
     best = max(counts.items(), key=lambda kv: (kv[1], -cells.index(kv[0])), default=(None, 0))
@@ -127,7 +135,12 @@ def cluster_rows(tables: Sequence[Sequence[dict]], keys: Sequence[str]) -> list[
 
     A row that has only a surname joins no cluster of another name if several clusters share it."""
     clusters: list[list[dict]] = []
+    places: dict[tuple, int] | None = {}  # of clusters by key, while each has one key of its own
     for table in tables:
+        if places is not None:
+            places = _match_equal(table, keys, clusters, places)
+            if places is not None:
+                continue
         size = max(len(table), len(clusters))
         cost = np.full((size, size), UNMATCHED)
         shared = [Counter(w[-1] for c in clusters if (w := _words_of(c[0].get(k)))) for k in keys]
@@ -145,6 +158,38 @@ def cluster_rows(tables: Sequence[Sequence[dict]], keys: Sequence[str]) -> list[
     return clusters
 
 
+def _match_equal(table: Sequence[dict], keys: Sequence[str], clusters: list[list[dict]], places: dict[tuple, int]) -> dict[tuple, int] | None:
+    """Adds a table's rows to the clusters of equal keys if no assignment costs as little; else changes nothing and
+    returns None.
+
+    That is so if the rows have different keys and all rows or all clusters find an equal: each pair then costs
+    nothing, and any other pair something.  A lone key of numbers is equal or not, so there the rest stays alone too."""
+    own = [tuple(_key_form(row.get(k)) for k in keys) for row in table]
+    distinct = set(own)
+    if len(distinct) < len(own):
+        return None
+    found = len(distinct & places.keys())
+    if found < min(len(own), len(places)) and not (len(keys) == 1 and (_no_words(own) or _no_words(places))):
+        return None
+    for form, row in zip(own, table, strict=True):
+        if form in places:
+            clusters[places[form]].append(row)
+        else:
+            places[form] = len(clusters)
+            clusters.append([row])
+    return places
+
+
+def _key_form(value: object) -> str | tuple[str, ...] | None:
+    """Key cells are equal, at no distance, just if these are: a number's text, the words of other text, or None."""
+    cell = canonical_cell(value)
+    return cell if cell is None or _is_number(cell) else _key_words(cell)
+
+
+def _no_words(forms: Iterable[tuple]) -> bool:
+    return all(not isinstance(form[0], tuple) for form in forms)
+
+
 def _words_of(value: object) -> tuple[str, ...]:
     cell = canonical_cell(value)
     return () if cell is None or _is_number(cell) else _key_words(cell)
@@ -158,17 +203,23 @@ def vote_by_similar_key(tables: Sequence[Sequence[dict]], keys: Sequence[str], t
 
 def vote_records(votes: DataFrame, tolerance: float = 0.0) -> DataFrame:
     """``record_id`` and the voted ``rows`` (JSON objects) of ``votes``: record_id, vote, keys (array) and rows (JSON text
-    of a list of objects).  A record's votes, a handful, meet in one task."""
+    of a list of objects).  A record's votes, a handful, meet in one row; a task holds one batch of records."""
     kind = votes.schema["record_id"].dataType.simpleString()
+    vote = F.struct(F.isnull("vote").alias("last"), F.col("vote"), F.col("keys"), F.col("rows"))
+    records = votes.groupBy("record_id").agg(F.array_sort(F.collect_list(vote)).alias("v"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ordered = pdf.sort_values("vote")
-        tables = [json.loads(r) for r in ordered["rows"]]
-        keys = list(ordered["keys"].iloc[0])
+    def voted(keys: Sequence[str], texts: Sequence[str]) -> str:
+        tables = [json.loads(r) for r in texts]
         made = vote_by_similar_key(tables, keys, tolerance) if keys else vote_by_position_of(tables, tolerance)
-        return pd.DataFrame({"record_id": [pdf["record_id"].iloc[0]], "rows": [json.dumps(made, ensure_ascii=False)]})
+        return json.dumps(made, ensure_ascii=False)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = list(map(voted, batch.column("keys").to_pylist(), batch.column("rows").to_pylist()))
+            yield pa.RecordBatch.from_arrays([batch.column("record_id"), pa.array(rows, pa.string())], names=["record_id", "rows"])
 
-    return votes.groupBy("record_id").applyInPandas(run, f"record_id {kind}, rows string")
+    first = F.element_at("v", 1)
+    return records.select("record_id", first["keys"].alias("keys"), F.col("v.rows").alias("rows")).mapInArrow(run, f"record_id {kind}, rows string")
 
 
 def vote_by_position_of(tables: Sequence[Sequence[dict]], tolerance: float = 0.0) -> list[dict]:

@@ -1,5 +1,6 @@
 """Split generation, benchmark preparation and the driver-side helpers of sampling."""
 
+import json
 import random
 
 import numpy as np
@@ -69,3 +70,40 @@ def test_compatible_results(spark):
         known = signature.Registry(compat)
         assert known.add("SELECT 1", "one") and not known.add("select  1", "two") and not known.add("SELECT 2", "One")
         assert known.add("SELECT 2", "other") == again
+
+
+def test_votes_of_equal_keys_need_no_assignment(monkeypatch):
+    def never(cost):
+        raise AssertionError("assigned")
+
+    monkeypatch.setattr(vote, "assign", never)
+    tables = [[{"k": i, "v": i} for i in range(50) if i % 4], [{"k": f"{i}.0", "v": i + 1} for i in range(49, 0, -1) if i % 4], [{"k": i, "v": i} for i in range(50)], [{"k": i, "v": i} for i in range(40, 60)]]
+    made = vote.vote_by_similar_key(tables, ["k"])
+    assert [r["v"] for r in made] == [i for i in range(50) if i % 4]
+    names = [[{"a": "V. Kohli", "b": i, "v": i} for i in range(3)], [{"a": "v kohli", "b": str(i), "v": i} for i in (2, 0)]]
+    assert [r["v"] for r in vote.vote_by_similar_key(names, ["a", "b"])] == [0, 2]
+
+
+def test_equal_keys_are_matched_as_by_assignment(monkeypatch):
+    rng, equal, met = random.Random(5), vote._match_equal, []
+    cells = ["V. Kohli", "Virat Kohli", "Kohli", "v kohli", "R Sharma", "Sharma", "!", "?", "", None, "nan", True, "true", 1, "1.0", 2.5, "2.50", [1], -0.0, "0", 3, 4]
+    for _ in range(400):
+        keys, pool = rng.choice([["a"], ["a", "b"]]), rng.choice([cells, cells[:9], cells[13:]])
+        base = [{**{k: rng.choice(pool) for k in keys}, "v": rng.choice([1, 1.0, "1", 2, None, "x", True])} for _ in range(rng.randint(0, 5))]
+        tables = [[{**row, "v": rng.choice([row["v"], 2])} for row in rng.sample(base, rng.randint(0, len(base)))] for _ in range(rng.randint(0, 4))]
+        monkeypatch.setattr(vote, "_match_equal", lambda *args: met.append(equal(*args)) or met[-1])
+        got = repr(vote.vote_by_similar_key(tables, keys, 0.2))
+        monkeypatch.setattr(vote, "_match_equal", lambda *args: None)
+        assert got == repr(vote.vote_by_similar_key(tables, keys, 0.2)), tables
+    assert sum(m is not None for m in met) > 100 and None in met
+
+
+def test_voted_records(spark):
+    table = lambda *rows: json.dumps([dict(zip("kv", r, strict=True)) for r in rows], ensure_ascii=False)
+    rows = [
+        ("a", 2, ["k"], table((2, "é"), (1, 5))), ("a", 1, ["k"], table((1, 5), (3, 0))), ("a", 3, ["k"], table((1, 6), ("2.0", "é"))),
+        ("b", 1, [], table((1, 5))), ("b", 2, [], table((1, 6))), ("b", 3, [], table((2, 6))), (None, 1, ["k"], table()),
+    ]
+    made = vote.vote_records(spark.createDataFrame(rows, "record_id string, vote int, keys array<string>, rows string").repartition(3))
+    assert {r["record_id"]: r["rows"] for r in made.collect()} == {"a": table((1, 5), (2, "é")), "b": table((1, 6)), None: "[]"}
+    assert "MapInArrow" in made._jdf.queryExecution().executedPlan().toString()  # batches of records, not a call for each
