@@ -23,6 +23,18 @@ def rounded(value: Column, digits: int) -> Column:
     return F.round(finite(value), digits)
 
 
+def mean_above(value: Column, limit: str) -> Column:
+    """Aggregate: whether a group's mean is above ``limit``, a number as text; null without values.
+
+    A sum of doubles depends on the order of its rows, so a mean that equals the limit may come out above it.  Figures that
+    18 decimals hold are summed exactly; a group with others (NaN, infinities, 1e19 and more) has its mean in doubles."""
+    v, kind = value.cast("double"), "decimal(37,18)"
+    figure = v.try_cast(kind)
+    off = F.when(figure.cast("double") == v, figure - F.lit(limit).cast(kind))
+    total = F.try_sum(off)
+    return F.when((F.count(off) == F.count(v)) & total.isNotNull(), total > 0).otherwise(F.avg(v) > F.lit(limit).cast("double"))
+
+
 def signature_cell(value: Column, digits: int = 2) -> Column:
     """Text of a cell for content comparison: trimmed, numbers rounded, whole numbers without a point."""
     number = F.round(to_float(F.trim(value.cast("string"))), digits)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import session
-from ..functions import repair, text
+from ..functions import cells, repair, text
 from ..operators import align, attempts, evidence, sessions, strata, tables, vote
 from ..session import scratch_folder
 from ..sources import nodes
@@ -198,7 +198,7 @@ def log_batch_outputs(t: Tables) -> DataFrame:
 def log_files(t: Tables) -> DataFrame:
     """A run's log folder, a subfolder an attempt: the last valid one of each sample."""
     folder = session.scratch_folder(t.spark, "logs")
-    logged = t.events.groupBy(F.col("user_id").alias("sample_id"), (F.col("event_id") % 4).alias("attempt")).agg((F.avg("value") > 40).alias("valid"))
+    logged = t.events.groupBy(F.col("user_id").alias("sample_id"), (F.col("event_id") % 4).alias("attempt")).agg(cells.mean_above(F.col("value"), "40").alias("valid"))
     logged.write.partitionBy("attempt").json(folder)
     return attempts.winners(attempts.read_attempts(t.spark, folder, "sample_id bigint, valid boolean"), ["sample_id"]).select("sample_id", "attempt")
 
